@@ -159,7 +159,17 @@ ID_COLUMNS = [
     "ti_orderid",
 ]
 
-EVENTS_SCHEMA = T.StructType.fromDDL(EVENTS_DDL)
+_TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+EVENTS_SCHEMA = T.StructType(
+    [T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, EVENTS_DDL.strip().split(","))]
+)
 EVENT_COLUMNS = EVENTS_SCHEMA.fieldNames()
 CONTEXT_COLUMNS = EVENT_COLUMNS[-7:]
 TIMESTAMP_COLUMNS = [f.name for f in EVENTS_SCHEMA if isinstance(f.dataType, T.TimestampNTZType)]

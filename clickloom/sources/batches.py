@@ -20,6 +20,10 @@ MANIFEST_DDL = """
 """
 
 
+# Fixed value: timestamps in a manifest; JSON would keep milliseconds only.
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+
 def write_batches(batches: DataFrame, path: str) -> None:
     """One folder per batch. Rows are not moved between tasks."""
     batches.write.option("compression", "snappy").mode("errorifexists").partitionBy("batch_index").parquet(path)
@@ -31,11 +35,11 @@ def read_batch(spark: SparkSession, uri: str) -> DataFrame:
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """One JSON row per batch, so a single small file."""
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    manifest.coalesce(1).write.mode("overwrite").option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_DDL).json(path)
+    return spark.read.schema(MANIFEST_DDL).option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
 @dataclass(frozen=True)
