@@ -12,7 +12,15 @@ from pyspark.sql import types as T
 from clickloom.functions.casts import to_contract_type, typed_null
 from clickloom.functions.times import ntz
 from clickloom.schema import BATCH_ID, EVENT_PARTITIONS, EVENTS_SCHEMA
-from clickloom.sources.tables import create_events_table, day_source, spread, with_event_day, write_partitioned
+from clickloom.sources.tables import (
+    create_events_table,
+    day_source,
+    drop_partitions,
+    spread,
+    table_partitions,
+    with_event_day,
+    write_partitioned,
+)
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -98,7 +106,8 @@ def load_events(
     create_events_table(spark, table, day_from)
     rows = read_files(spark, source) if isinstance(source, str) else source
     rows = with_event_day(to_contract(rows), day_source(spark, table)).withColumn(BATCH_ID, F.lit(batch_id))
-    escaped = batch_id.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({BATCH_ID} = '{escaped}')")
+    # not every catalog drops by a part of the partition key, so the parts are listed
+    held = table_partitions(spark, table, EVENT_PARTITIONS).where(F.col(BATCH_ID) == batch_id).collect()
+    drop_partitions(spark, table, EVENT_PARTITIONS, held)
     columns = spark.table(table).columns
     spread(rows.select(*columns), EVENT_PARTITIONS).write.mode("append").insertInto(table)
