@@ -19,8 +19,20 @@ def context_value(context: Column | str, path: str, data_type: str = "string") -
     return F.try_variant_get(F.try_parse_json(column), path, data_type)
 
 
-def page_view_id(context: Column | str = WEB_PAGE) -> Column:
-    return context_value(context, "$[0].id", "string")
+# A context of one id and nothing else. Such text is valid JSON as it stands.
+_ONLY_ID = r'^\[\{"id": ?"([^"\\\x00-\x1f]*)"\}\]$'
+
+
+def page_view_id(context: str = WEB_PAGE) -> Column:
+    """``$[0].id`` of the web page context.
+
+    Nearly every context is a lone id, which a pattern finds in a fraction of
+    the time that parsing takes; any other text is parsed.
+    """
+    text = F.col(context)
+    return F.when(text.rlike(_ONLY_ID), F.regexp_extract(text, _ONLY_ID, 1)).otherwise(
+        context_value(text, "$[0].id", "string")
+    )
 
 
 def nested_to_json(column: Column | str) -> Column:

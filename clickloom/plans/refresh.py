@@ -45,16 +45,15 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
     loaded = table_partitions(spark, zones.events, [BATCH_ID]).distinct()
     if not spark.catalog.tableExists(zones.session_state):
         build(spark, zones, options)
-        _log(spark, zones, loaded.union(_one(spark, batch_id)).distinct(), "done")
+        _log(zones, loaded.union(_one(spark, batch_id)).distinct())
         return
     started = spark.table(zones.batches).select(BATCH_ID).distinct()
     seen_before = not started.where(F.col(BATCH_ID) == batch_id).isEmpty()
     waiting = [r[BATCH_ID] for r in loaded.join(started, BATCH_ID, "left_anti").collect()]
-    _log(spark, zones, _one(spark, batch_id), "started")
+    _log(zones, _one(spark, batch_id))
     events = spark.table(zones.events).where(~F.col(BATCH_ID).isin([b for b in waiting if b != batch_id]))
     with Scratch(spark) as scratch:
         _refresh(spark, zones, model_events(events, options), batch_id, options, scratch, seen_before)
-    _log(spark, zones, _one(spark, batch_id), "done")
 
 
 def _refresh(
@@ -173,6 +172,7 @@ def _one(spark: SparkSession, batch_id: str) -> DataFrame:
     return spark.createDataFrame([(batch_id,)], f"{BATCH_ID} STRING")
 
 
-def _log(spark: SparkSession, zones: Zones, batch_ids: DataFrame, status: str) -> None:
-    rows = batch_ids.withColumns({"status": F.lit(status), "at": F.current_timestamp()})
+def _log(zones: Zones, batch_ids: DataFrame) -> None:
+    """Note batches whose events the derived tables hold, or may hold from now on."""
+    rows = batch_ids.withColumn("started_at", F.current_timestamp())
     rows.coalesce(1).write.format("parquet").mode("append").saveAsTable(zones.batches)
