@@ -30,9 +30,8 @@ def page_view_id(context: str = WEB_PAGE) -> Column:
     the time that parsing takes; any other text is parsed.
     """
     text = F.col(context)
-    return F.when(text.rlike(_ONLY_ID), F.regexp_extract(text, _ONLY_ID, 1)).otherwise(
-        context_value(text, "$[0].id", "string")
-    )
+    lone_id = F.regexp_extract(text, _ONLY_ID, 1)
+    return F.when(lone_id != "", lone_id).otherwise(context_value(text, "$[0].id", "string"))
 
 
 def nested_to_json(column: Column | str) -> Column:

@@ -87,32 +87,29 @@ def model_events(events: DataFrame, options: ModelOptions = ModelOptions()) -> D
     )
 
 
-def page_activity(events: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
-    """One row per session and page-view id, the events without such an id included.
+def as_activity(events: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
+    """Every event of a session in the form of activity, ready to be combined.
 
-    ``events`` come from ``model_events``. Each map task sends at most one row
-    per group, whatever the size of the group.
+    ``events`` come from ``model_events``.
     """
     order = [F.col("tstamp"), F.col("event_id")]
-    return (
-        events.where(F.col(SESSION).isNotNull())
-        .groupBy(*ACTIVITY_KEYS)
-        .agg(
-            F.count("*").alias("events"),
-            F.count_if(~F.col("event_name").eqNullSafe(options.page_view_event)).alias("activity"),
-            F.max("pp_yoffset_max").alias("max_scroll"),
-            F.min("tstamp").alias("start_tstamp"),
-            F.max("tstamp").alias("end_tstamp"),
-            F.min(F.struct(F.col("tstamp").isNull().alias("undated"), *order, *FIRST_ATTRIBUTES)).alias("first_event"),
-            F.max(F.struct(*order, F.col("page_url"))).alias("last_event"),
-            F.min(EVENT_DAY).alias("first_day"),
-            F.max(EVENT_DAY).alias("last_day"),
-            F.max(BATCH_ID).alias("last_batch"),
-        )
+    is_view = F.col("event_name").eqNullSafe(options.page_view_event)
+    return events.where(F.col(SESSION).isNotNull()).select(
+        *ACTIVITY_KEYS,
+        F.lit(1).cast("bigint").alias("events"),
+        (~is_view).cast("bigint").alias("activity"),
+        F.col("pp_yoffset_max").alias("max_scroll"),
+        F.col("tstamp").alias("start_tstamp"),
+        F.col("tstamp").alias("end_tstamp"),
+        F.struct(F.col("tstamp").isNull().alias("undated"), *order, *FIRST_ATTRIBUTES).alias("first_event"),
+        F.struct(*order, F.col("page_url")).alias("last_event"),
+        F.col(EVENT_DAY).alias("first_day"),
+        F.col(EVENT_DAY).alias("last_day"),
+        F.col(BATCH_ID).alias("last_batch"),
     )
 
 
-def _merged() -> list[Column]:
+def _combined() -> list[Column]:
     return [
         F.sum("events").alias("events"),
         F.min("start_tstamp").alias("start_tstamp"),
@@ -125,20 +122,29 @@ def _merged() -> list[Column]:
     ]
 
 
-def merge_activity(activity: DataFrame, more: DataFrame) -> DataFrame:
-    """Activity of two disjoint sets of events as that of their union."""
-    columns = activity.columns
-    return (
-        activity.unionByName(more.select(*columns))
-        .groupBy(*ACTIVITY_KEYS)
-        .agg(*_merged(), F.sum("activity").alias("activity"), F.max("max_scroll").alias("max_scroll"))
-        .select(*columns)
-    )
+def combine_activity(activity: DataFrame) -> DataFrame:
+    """One row per session and page-view id, the events without such an id included.
+
+    Each map task sends at most one row per group, whatever the size of the group.
+    """
+    measures = [*_combined(), F.sum("activity").alias("activity"), F.max("max_scroll").alias("max_scroll")]
+    return activity.groupBy(*ACTIVITY_KEYS).agg(*measures).select(*activity.columns)
+
+
+def page_activity(events: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
+    return combine_activity(as_activity(events, options))
+
+
+def merge_activity(
+    activity: DataFrame, events: DataFrame, options: ModelOptions = ModelOptions()
+) -> DataFrame:
+    """Stored activity with further events added to it, in one shuffle."""
+    return combine_activity(as_activity(events, options).unionByName(activity))
 
 
 def session_rollup(activity: DataFrame) -> DataFrame:
     """Session state: one row per session, still with its first and last event."""
-    return activity.groupBy(SESSION).agg(F.count("page_view_id").alias("page_views"), *_merged())
+    return activity.groupBy(SESSION).agg(F.count("page_view_id").alias("page_views"), *_combined())
 
 
 def index_page_views(activity: DataFrame, scratch: Scratch, options: ModelOptions = ModelOptions()) -> DataFrame:

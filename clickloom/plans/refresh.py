@@ -85,14 +85,14 @@ def _refresh(
     )
     added = dedup_events(batch)
     if dirty.isEmpty():
-        fresh = merge_activity(old_activity, page_activity(added, options))
+        fresh = merge_activity(old_activity, added, options)
     else:
         # duplicates within the batch are settled before its dirty sessions are left out
         clean_added = added.join(dirty, SESSION, "left_anti")
         clean_old = old_activity.join(dirty, SESSION, "left_anti")
         days = _days_of(old_state.join(dirty, SESSION, "left_semi"), batch)
         recomputed = _recomputed(events, dirty, days, scratch, options)
-        fresh = merge_activity(clean_old, page_activity(clean_added, options)).unionByName(recomputed)
+        fresh = merge_activity(clean_old, clean_added, options).unionByName(recomputed)
     fresh = scratch.save(fresh, "activity")
 
     state = scratch.save(with_session_day(session_rollup(fresh)), "state")

@@ -55,9 +55,18 @@ def loaded(spark: SparkSession, sf_dir: str) -> Zones:
     return zones
 
 
+_loaded: dict[tuple[str, str], Zones] = {}
 _refreshed: dict[tuple[str, str], Zones] = {}
 
 
+def loaded_once(spark: SparkSession, sf_dir: str) -> Zones:
+    """The same for queries that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _loaded:
+        _loaded[key] = loaded(spark, sf_dir)
+    return _loaded[key]
+
+
 def refreshed(spark: SparkSession, sf_dir: str) -> Zones:
     """Derived tables after three batches that split almost every session."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -288,7 +297,7 @@ def verify_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = loaded(spark, sf_dir)
+    zones = loaded_once(spark, sf_dir)
     return verify_count(contract_events(spark, zones.events), read_table(spark, sf_dir, "events"))
 
 
@@ -296,12 +305,12 @@ def verify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.table(loaded(spark, sf_dir).events)
+    table = spark.table(loaded_once(spark, sf_dir).events)
     return table.where(in_partition(DAY, NAME)).select("event_id", EVENT_DAY, "event_name")
 
 
 def partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.table(loaded(spark, sf_dir).events)
+    table = spark.table(loaded_once(spark, sf_dir).events)
     condition = on_day("collector_tstamp", DAY, day_from="collector_tstamp")
     return table.where(condition & (F.col("event_name") == NAME)).agg(F.count("*").alias("rows"))
 
@@ -322,7 +331,7 @@ def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limit_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeatable sample of one partition."""
-    table = spark.table(loaded(spark, sf_dir).events)
+    table = spark.table(loaded_once(spark, sf_dir).events)
     return audit.sample_partition(table, in_partition(DAY, NAME), 10).select(*MERGE_KEY)
 
 
@@ -434,7 +443,7 @@ def smallest_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per partition as the files of a real table hold them."""
-    files = audit.file_inventory(spark.table(loaded(spark, sf_dir).events), EVENT_PARTITIONS)
+    files = audit.file_inventory(spark.table(loaded_once(spark, sf_dir).events), EVENT_PARTITIONS)
     return flat(audit.partition_stats(files)).select(EVENT_DAY, "event_name", "rows")
 
 

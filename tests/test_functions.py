@@ -57,6 +57,18 @@ def test_context_path_gives_null_for_what_is_not_json(spark):
     assert got == ["a", None, None, None, None, None, "7", None]
 
 
+def test_page_view_id_is_the_parsed_value_whatever_the_text(spark):
+    texts = [
+        '[{"id":"a"}]', '[{"id": "a b"}]', '[{"id":"é"}]', '[{"id":""}]', '[{"id":"a\\u0041"}]', '[{"id":"a\\""}]',
+        '[{"id":"a"}] ', '[{"id":"a"}]\n', ' [{"id":"a"}]', '[{"id":"a"}]x', '[{"id":"a","b":1}]', '[{"id":"a\nb"}]',
+        '[{"id":"a"},{"id":"b"}]', "[{'id':'a'}]", "", None, '[{"id":"a\tb"}]', '{"id":"a"}', '[{"id":7}]',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], f"{WEB_PAGE} string")
+    for r in df.select(WEB_PAGE, contexts.page_view_id(), contexts.context_value(WEB_PAGE, "$[0].id")).collect():
+        assert r[1] == r[2], r[0]
+    assert df.where(contexts.page_view_id() == "a b").count() == 1
+
+
 def test_gates_keep_the_schema(spark):
     df = spark.createDataFrame([('[{"id":"a"}]', '[{"v":3}]')], f"{WEB_PAGE} string, {UA} string")
     fields = {WEB_PAGE: {"id": ("$[0].id", "string")}, UA: {"v": ("$[0].v", "int")}}

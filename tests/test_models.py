@@ -98,5 +98,5 @@ def test_the_earliest_copy_is_kept_whatever_the_order(spark, make_events):
 def test_merged_activity_is_that_of_the_union(spark, make_events):
     events = models.model_events(make_events(ROWS))
     some, rest = events.where("event_id < '4'"), events.where("event_id >= '4'")
-    merged = models.merge_activity(models.page_activity(some), models.page_activity(rest))
+    merged = models.merge_activity(models.page_activity(some), rest)
     assert rows_of(merged) == rows_of(models.page_activity(events))
