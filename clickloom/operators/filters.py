@@ -11,6 +11,11 @@ from clickloom.schema import EVENT_DAY
 
 SHORT_LIST = 1_000
 
+# Between these numbers of keys a broadcast of their hashes is worth while and
+# has a known size: the upper one stands for about 150 MB on an executor.
+FEW_KEYS = 100_000
+HASHED_KEYS = 4_000_000
+
 
 def in_partition(day: date, event_name: str) -> Column:
     """One day and event name, as a condition on the partition columns."""
@@ -31,3 +36,24 @@ def in_list(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
         return df.where(F.col(column).isin(values))
     listed = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} {dict(df.dtypes)[column]}")
     return df.join(listed, column, "left_semi")
+
+
+def keep_keys(
+    df: DataFrame,
+    keys: DataFrame,
+    column: str,
+    at_most: int,
+    few: int = FEW_KEYS,
+    hashed: int = HASHED_KEYS,
+) -> DataFrame:
+    """Rows of a large table whose ``column`` is among ``keys``, not NULL and ``at_most`` many.
+
+    Few keys Spark broadcasts by itself. A middling number would make it
+    shuffle all of ``df``; here 64-bit hashes of the keys are broadcast first,
+    which leaves little more than the wanted rows for the exact join. More keys
+    than that are left to a shuffled join.
+    """
+    if few < at_most <= hashed:
+        hashes = keys.select(F.xxhash64(column).alias("_hash"))
+        df = df.withColumn("_hash", F.xxhash64(column)).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    return df.join(keys, column, "left_semi")

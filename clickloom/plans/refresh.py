@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.dedup import dedup_events
+from clickloom.operators.filters import keep_keys
 from clickloom.plans.build import (
     LAST_SEEN_DAY,
     SESSION_DAY,
@@ -48,10 +49,10 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
         _log(zones, loaded.union(_one(spark, batch_id)).distinct())
         return
     started = spark.table(zones.batches).select(BATCH_ID).distinct()
-    seen_before = not started.where(F.col(BATCH_ID) == batch_id).isEmpty()
-    waiting = [r[BATCH_ID] for r in loaded.join(started, BATCH_ID, "left_anti").collect()]
+    waiting = {r[BATCH_ID] for r in loaded.join(started, BATCH_ID, "left_anti").collect()}
+    seen_before = batch_id not in waiting
     _log(zones, _one(spark, batch_id))
-    events = spark.table(zones.events).where(~F.col(BATCH_ID).isin([b for b in waiting if b != batch_id]))
+    events = spark.table(zones.events).where(~F.col(BATCH_ID).isin(sorted(waiting - {batch_id})))
     with Scratch(spark) as scratch:
         _refresh(spark, zones, model_events(events, options), batch_id, options, scratch, seen_before)
 
@@ -74,15 +75,12 @@ def _refresh(
     affected = scratch.save(batch_sessions.unionByName(dirty).distinct(), "affected")
 
     old_state = scratch.save(
-        spark.table(zones.session_state).join(affected, SESSION, "left_semi"), "old_state"
+        keep_keys(spark.table(zones.session_state), affected, SESSION, affected.count()), "old_state"
     )
     old_days = old_state.select(SESSION_DAY).distinct().collect()
-    old_activity = (
-        spark.table(zones.page_activity)
-        .where(partition_filter([SESSION_DAY], old_days))
-        .join(affected, SESSION, "left_semi")
-        .drop(SESSION_DAY, "page_view_in_session_index")
-    )
+    old_activity = spark.table(zones.page_activity).where(partition_filter([SESSION_DAY], old_days))
+    old_activity = keep_keys(old_activity, old_state.select(SESSION), SESSION, old_state.count())
+    old_activity = old_activity.drop(SESSION_DAY, "page_view_in_session_index")
     added = dedup_events(batch)
     if dirty.isEmpty():
         fresh = merge_activity(old_activity, added, options)
@@ -114,7 +112,7 @@ def _sessions_with_copies(events: DataFrame, batch: DataFrame, batch_id: str) ->
     Reads two columns of the other batches.
     """
     others = events.where(F.col(BATCH_ID) != batch_id).select("event_id", SESSION)
-    copies = others.join(_keys(batch, "event_id"), "event_id", "left_semi")
+    copies = keep_keys(others, _keys(batch, "event_id"), "event_id", batch.count())
     own = batch.select("event_id", SESSION).join(_keys(copies, "event_id"), "event_id", "left_semi")
     return _keys(copies.unionByName(own), SESSION)
 
@@ -139,9 +137,9 @@ def _recomputed(
     are the sessions picked.
     """
     in_days = events.where(partition_filter([EVENT_DAY], days))
-    inside = scratch.save(in_days.join(dirty, SESSION, "left_semi"), "dirty_events")
+    inside = scratch.save(keep_keys(in_days, dirty, SESSION, dirty.count()), "dirty_events")
     elsewhere = events.join(dirty, SESSION, "left_anti")
-    copies = elsewhere.join(_keys(inside, "event_id"), "event_id", "left_semi")
+    copies = keep_keys(elsewhere, _keys(inside, "event_id"), "event_id", inside.count())
     kept = dedup_events(inside.unionByName(copies)).join(dirty, SESSION, "left_semi")
     return page_activity(kept, options)
 
@@ -160,7 +158,7 @@ def _refresh_users(
         _keys(old_state.select(user).unionByName(state.select(user)), "domain_userid"), "users"
     )
     others = spark.table(zones.session_state).join(affected, SESSION, "left_anti")
-    rows = sessions(others.unionByName(state)).join(changed, "domain_userid", "left_semi")
+    rows = keep_keys(sessions(others.unionByName(state)), changed, "domain_userid", changed.count())
     fresh = scratch.save(with_last_seen_day(users(rows)), "user_rows")
     stored = spark.table(zones.users).select("domain_userid", LAST_SEEN_DAY)
     old_days = stored.join(changed, "domain_userid", "left_semi").select(LAST_SEEN_DAY).distinct().collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.audit import file_inventory
 from clickloom.operators.clone import CloneSchedule, clone_batches
-from clickloom.operators.filters import in_list, in_partition, on_day
+from clickloom.operators.filters import in_list, in_partition, keep_keys, on_day
 from clickloom.operators.merge import updated
 from clickloom.plans import models
 from clickloom.plans.refresh import _sessions_with_copies
@@ -96,3 +96,16 @@ def test_in_list_by_any_means(spark, events):
     joined = in_list(events, "event_id", spark.createDataFrame([("1",), ("2",), ("2",)], "k string"))
     assert rows_of(short) == rows_of(long) == rows_of(joined)
     assert "event_id" in [l for l in plan(short).splitlines() if l.startswith("PushedFilters")][0]
+
+
+def test_many_keys_are_found_through_their_hashes(spark, events):
+    keys = spark.createDataFrame([("1",), ("2",), ("none",)], "event_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hashed = keep_keys(events, keys, "event_id", 3, few=1)
+        shuffled = keep_keys(events, keys, "event_id", 3, few=1, hashed=2)
+        assert "BroadcastHashJoin" in plan(hashed) and "BroadcastHashJoin" not in plan(shuffled)
+        assert rows_of(hashed) == rows_of(shuffled) and hashed.count() == 2
+        assert hashed.columns == shuffled.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
