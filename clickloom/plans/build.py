@@ -18,8 +18,9 @@ from clickloom.plans.models import (
     sessions,
     users,
 )
+from clickloom.schema import BATCH_ID
 from clickloom.session import Scratch
-from clickloom.sources.tables import Zones, write_partitioned
+from clickloom.sources.tables import Zones, table_partitions, write_partitioned
 
 SESSION_DAY = "session_day"
 LAST_SEEN_DAY = "last_seen_day"
@@ -44,18 +45,36 @@ def place_activity(indexed: DataFrame, state: DataFrame) -> DataFrame:
 def build(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOptions()) -> None:
     """Rebuild all derived tables. Events are read and shuffled once.
 
-    The session state is written last: where it exists, the build is complete.
+    The session state goes first and comes back last: where it exists, the
+    other tables are complete.
     """
+    events = spark.table(zones.events)
     with Scratch(spark) as scratch:
-        activity = scratch.save(activity_of(spark.table(zones.events), options), "activity")
+        batches = scratch.save(loaded_batches(spark, zones), "batches")
+        activity = scratch.save(activity_of(events, options), "activity")
         state = scratch.save(with_session_day(session_rollup(activity)), "state")
         indexed = index_page_views(activity, scratch, options)
+        spark.sql(f"DROP TABLE IF EXISTS {zones.session_state}")
         write_partitioned(place_activity(indexed, state), zones.page_activity, [SESSION_DAY])
         write_partitioned(with_last_seen_day(users(sessions(state))), zones.users, [LAST_SEEN_DAY])
+        log_batches(zones, batches, mode="overwrite")
         write_partitioned(state, zones.session_state, [SESSION_DAY])
     publish(spark, zones)
 
 
+def loaded_batches(spark: SparkSession, zones: Zones) -> DataFrame:
+    """Ids of the batches in the events table, none if it keeps no batches apart."""
+    if BATCH_ID not in spark.table(zones.events).columns:
+        return spark.createDataFrame([], f"{BATCH_ID} STRING")
+    return table_partitions(spark, zones.events, [BATCH_ID]).distinct()
+
+
+def log_batches(zones: Zones, batch_ids: DataFrame, mode: str = "append") -> None:
+    """Note batches whose events the derived tables hold, or may hold from now on."""
+    rows = batch_ids.withColumn("started_at", F.current_timestamp())
+    rows.coalesce(1).write.format("parquet").mode(mode).saveAsTable(zones.batches)
+
+
 def publish(spark: SparkSession, zones: Zones) -> None:
     """Page views and sessions are views on the state tables, which hold each
     row once; filters and column pruning reach the files through them."""

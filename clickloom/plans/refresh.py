@@ -17,7 +17,10 @@ from clickloom.plans.build import (
     LAST_SEEN_DAY,
     SESSION_DAY,
     build,
+    loaded_batches,
+    log_batches,
     place_activity,
+    publish,
     with_last_seen_day,
     with_session_day,
 )
@@ -34,7 +37,8 @@ from clickloom.plans.models import (
 )
 from clickloom.schema import BATCH_ID, EVENT_DAY
 from clickloom.session import Scratch
-from clickloom.sources.tables import Zones, partition_filter, replace_rows, table_partitions
+from clickloom.sources.tables import Zones, partition_filter, replace_rows
+
 
 def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOptions = ModelOptions()) -> None:
     """Refresh after ``batch_id`` was loaded; the outcome equals that of ``build``.
@@ -43,18 +47,17 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
     sessions of the batch from events, so no event is counted twice. Batches
     that are loaded but whose turn has not come are left out.
     """
-    loaded = table_partitions(spark, zones.events, [BATCH_ID]).distinct()
     if not spark.catalog.tableExists(zones.session_state):
         build(spark, zones, options)
-        _log(zones, loaded.union(_one(spark, batch_id)).distinct())
         return
-    started = spark.table(zones.batches).select(BATCH_ID).distinct()
-    waiting = {r[BATCH_ID] for r in loaded.join(started, BATCH_ID, "left_anti").collect()}
+    started = spark.table(zones.batches).select(BATCH_ID)
+    waiting = {r[BATCH_ID] for r in loaded_batches(spark, zones).join(started, BATCH_ID, "left_anti").collect()}
     seen_before = batch_id not in waiting
-    _log(zones, _one(spark, batch_id))
+    log_batches(zones, spark.createDataFrame([(batch_id,)], f"{BATCH_ID} STRING"))
     events = spark.table(zones.events).where(~F.col(BATCH_ID).isin(sorted(waiting - {batch_id})))
     with Scratch(spark) as scratch:
         _refresh(spark, zones, model_events(events, options), batch_id, options, scratch, seen_before)
+    publish(spark, zones)  # in case a build was interrupted just before this step
 
 
 def _refresh(
@@ -164,13 +167,3 @@ def _refresh_users(
     old_days = stored.join(changed, "domain_userid", "left_semi").select(LAST_SEEN_DAY).distinct().collect()
     new_days = fresh.select(LAST_SEEN_DAY).distinct().collect()
     replace_rows(zones.users, [LAST_SEEN_DAY], fresh, changed, "domain_userid", old_days, new_days)
-
-
-def _one(spark: SparkSession, batch_id: str) -> DataFrame:
-    return spark.createDataFrame([(batch_id,)], f"{BATCH_ID} STRING")
-
-
-def _log(zones: Zones, batch_ids: DataFrame) -> None:
-    """Note batches whose events the derived tables hold, or may hold from now on."""
-    rows = batch_ids.withColumn("started_at", F.current_timestamp())
-    rows.coalesce(1).write.format("parquet").mode("append").saveAsTable(zones.batches)

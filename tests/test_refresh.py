@@ -157,6 +157,27 @@ def test_an_interrupted_refresh_is_made_good(spark, zones, make_events, monkeypa
     assert got == rebuilt(spark, zones)
 
 
+def test_an_interrupted_build_is_made_good(spark, zones, make_events, monkeypatch):
+    from clickloom.plans import build as build_module
+
+    first, second = EDGES["a late copy in another session wins"]
+    load_events(spark, make_events(first), zones.events, "b0")
+    build(spark, zones)  # without a refresh before it
+    load_events(spark, make_events(second), zones.events, "b1")
+    refresh(spark, zones, "b1")
+    expected = results(spark, zones)
+
+    def fail(*args, **kwargs):
+        raise InterruptedError
+
+    with monkeypatch.context() as patched:
+        patched.setattr(build_module, "with_last_seen_day", fail)
+        with pytest.raises(InterruptedError):
+            build(spark, zones)
+    refresh(spark, zones, "b1")
+    assert results(spark, zones) == expected == rebuilt(spark, zones)
+
+
 def test_a_batch_that_waits_for_its_turn_is_left_out(spark, zones, make_events):
     load_events(spark, make_events([{"event_id": "a", "at": 5, "domain_sessionid": "s"}]), zones.events, "b0")
     refresh(spark, zones, "b0")
