@@ -45,21 +45,25 @@ def place_activity(indexed: DataFrame, state: DataFrame) -> DataFrame:
 def build(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOptions()) -> None:
     """Rebuild all derived tables. Events are read and shuffled once.
 
-    The session state goes first and comes back last: where it exists, the
-    other tables are complete.
+    The batch log goes first and comes back last: where it exists, the other
+    tables are complete.
     """
     events = spark.table(zones.events)
     with Scratch(spark) as scratch:
         batches = scratch.save(loaded_batches(spark, zones), "batches")
         activity = scratch.save(activity_of(events, options), "activity")
-        state = scratch.save(with_session_day(session_rollup(activity)), "state")
+        spark.sql(f"DROP TABLE IF EXISTS {zones.batches}")
+        write_partitioned(with_session_day(session_rollup(activity)), zones.session_state, [SESSION_DAY])
+        state = spark.table(zones.session_state)
+        write_partitioned(with_last_seen_day(users(sessions(state))), zones.users, [LAST_SEEN_DAY])
         indexed = index_page_views(activity, scratch, options)
-        spark.sql(f"DROP TABLE IF EXISTS {zones.session_state}")
         write_partitioned(place_activity(indexed, state), zones.page_activity, [SESSION_DAY])
-        write_partitioned(with_last_seen_day(users(sessions(state))), zones.users, [LAST_SEEN_DAY])
-        log_batches(zones, batches, mode="overwrite")
-        write_partitioned(state, zones.session_state, [SESSION_DAY])
-    publish(spark, zones)
+        publish(spark, zones)
+        log_batches(zones, batches)
+
+
+def is_built(spark: SparkSession, zones: Zones) -> bool:
+    return spark.catalog.tableExists(zones.batches)
 
 
 def loaded_batches(spark: SparkSession, zones: Zones) -> DataFrame:
@@ -69,10 +73,10 @@ def loaded_batches(spark: SparkSession, zones: Zones) -> DataFrame:
     return table_partitions(spark, zones.events, [BATCH_ID]).distinct()
 
 
-def log_batches(zones: Zones, batch_ids: DataFrame, mode: str = "append") -> None:
+def log_batches(zones: Zones, batch_ids: DataFrame) -> None:
     """Note batches whose events the derived tables hold, or may hold from now on."""
     rows = batch_ids.withColumn("started_at", F.current_timestamp())
-    rows.coalesce(1).write.format("parquet").mode(mode).saveAsTable(zones.batches)
+    rows.coalesce(1).write.format("parquet").mode("append").saveAsTable(zones.batches)
 
 
 def publish(spark: SparkSession, zones: Zones) -> None:

@@ -17,10 +17,10 @@ from clickloom.plans.build import (
     LAST_SEEN_DAY,
     SESSION_DAY,
     build,
+    is_built,
     loaded_batches,
     log_batches,
     place_activity,
-    publish,
     with_last_seen_day,
     with_session_day,
 )
@@ -47,7 +47,7 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
     sessions of the batch from events, so no event is counted twice. Batches
     that are loaded but whose turn has not come are left out.
     """
-    if not spark.catalog.tableExists(zones.session_state):
+    if not is_built(spark, zones):
         build(spark, zones, options)
         return
     started = spark.table(zones.batches).select(BATCH_ID)
@@ -57,7 +57,6 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
     events = spark.table(zones.events).where(~F.col(BATCH_ID).isin(sorted(waiting - {batch_id})))
     with Scratch(spark) as scratch:
         _refresh(spark, zones, model_events(events, options), batch_id, options, scratch, seen_before)
-    publish(spark, zones)  # in case a build was interrupted just before this step
 
 
 def _refresh(
