@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.text import buffers, pieces
-from clickloom.llm.training import Adam, held_out, sample_by, train
+from clickloom.llm.training import Adam, held_out, sample_by, train, with_texts
 
 UNKNOWN = "und"
 
@@ -46,10 +46,9 @@ def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions(), id_c
     Repeated rows get the same answer. A column of ``docs`` that is called like
     one of the three new ones is replaced.
     """
-    known = docs.select(
-        F.col(id_column).alias("id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang")
-    ).where(~held_out("id") & F.col("lang").isNotNull() & _has_letter())
-    model = train(sample_by(known, "lang", "id", options.per_language).select("id", "text", "lang"), lambda rows: fit(rows, options))
+    known = docs.select(F.col(id_column).alias("id"), F.col("lang").cast("string").alias("lang")).where(~held_out("id") & F.col("lang").isNotNull())
+    chosen = with_texts(docs, sample_by(known, "lang", "id", options.per_language), id_column).where(_has_letter())
+    model = train(chosen.select("id", F.lower("text").alias("text"), "lang"), lambda rows: fit(rows, options))
     return _apply(docs, model, options, id_column)
 
 

@@ -29,8 +29,12 @@ _POWERS = np.ones(64, dtype=np.uint64)
 
 @dataclass
 class Words:
-    """Words of consecutive rows: ``first[r]:first[r + 1]`` are the words of row r."""
+    """Words of consecutive rows: ``first[r]:first[r + 1]`` are the words of row r.
 
+    ``raw`` has their bytes, ``text`` the same with A-Z lower-cased.
+    """
+
+    raw: np.ndarray
     text: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -103,7 +107,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
     after = np.concatenate((inside[1:], [False])) if len(raw) else inside.copy()
     after[bounds[bounds > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
-    return Words(LOWER[raw], starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, bounds))
+    return Words(raw, LOWER[raw], starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, bounds))
 
 
 def words_of(column: pa.Array, word_bytes: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int, Words]]:

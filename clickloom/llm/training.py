@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.storage import saved
+
 HELD_OUT = 2
+BROADCAST_ROWS = 200_000
 
 
 def held_out(id_column: str) -> Column:
@@ -21,13 +24,27 @@ def held_out(id_column: str) -> Column:
 def sample_by(rows: DataFrame, label: str, id_column: str, per_label: int) -> DataFrame:
     """About ``per_label`` rows of each label, all if there are fewer, chosen by the hash of the id.
 
-    The choice does not depend on how the rows are partitioned.
+    The choice does not depend on how the rows are partitioned. ``rows`` should
+    be narrow: they are shuffled by label.
     """
     share = rows.groupBy(label).count().select(F.col(label), (F.lit(per_label) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     return rows.join(share, label).where(draw < F.col("share")).drop("share")
 
 
+def with_texts(docs: DataFrame, chosen: DataFrame, id_column: str) -> DataFrame:
+    """``chosen(id, ...)`` with the ``text`` of their documents, null as empty.
+
+    A sample of up to ``BROADCAST_ROWS`` rows is broadcast, so that texts are not
+    shuffled; a larger one is joined by Spark's own choice.
+    """
+    chosen = saved(chosen)
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(chosen, "id")
+
+
 def train(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """The arrays that ``fit`` makes of a bounded sample, in one task; only they reach the driver."""
 
