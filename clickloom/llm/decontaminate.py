@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.storage import bound_batches
 from clickloom.llm.text import LETTERS_DIGITS, buffers, find_words, pieces
 
 @dataclass(frozen=True)
@@ -62,6 +63,7 @@ def find_contamination(
     id match nothing; a repeated item counts once. Columns of ``docs`` called
     like a new one are replaced.
     """
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     found = docs.select(
         *kept,
@@ -85,6 +87,7 @@ def longest_matches(
     place that any shard reports. Suffixes without a common word have no row.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    bound_batches(docs.sparkSession)
     best = None
     for block in _blocks(benchmark, options):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import connected_components
-from clickloom.llm.storage import saved
+from clickloom.llm.storage import bound_batches, saved
 from clickloom.llm.text import NO_SPACE, mix, shingle_sets, words_of
 
 CLASSES = 64
@@ -83,6 +83,7 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions(), id
     set and link with nothing. Rows with a null id come back with a component of
     null. A repeated id stands for all its rows. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     common = _common_shingles(texts, options)
     profiles = saved(_profiles(texts, options, common))
@@ -245,25 +246,39 @@ def _join_regions(texts: DataFrame, regions: DataFrame, options: JoinOptions) ->
     """Links (a, b) that connect all documents linked within regions."""
     chosen = texts.join(regions, texts.id == regions.rep).select("region", "rep", "text", F.xxhash64("text").alias("copy"))
     chosen = chosen.dropDuplicates(["region", "rep", "copy"]).drop("copy")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, words in words_of(batch.column(2), NO_SPACE):
-                sets = pa.array([s.tobytes() for s in shingle_sets(words, options.shingle)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), sets], ["region", "rep", "shingles"])
-
     large = regions.groupBy("region").count().where(F.col("count") > options.region_rows).select("region")
     links = []
     if large.take(1):
-        members = saved(chosen.join(large, "region").mapInArrow(to_sets, "region long, rep long, shingles binary"))
-        chosen = chosen.join(large, "region", "left_anti")
-        links = _split_regions(members, options)
-    dealt = chosen.repartition("region").sortWithinPartitions("region", "rep").mapInArrow(to_sets, "region long, rep long, shingles binary")
-    return saved(reduce(DataFrame.unionByName, [_join_leaves(dealt, options), *links]))
+        members = chosen.join(large, "region").mapInArrow(_encoder(options), "region long, rep long, shingles binary")
+        chosen = chosen.join(large, "region", "left_anti").select("region", "rep", "text")
+        links = _split_regions(saved(members), options)
+    return saved(reduce(DataFrame.unionByName, [_join_leaves(chosen, options), *links]))
+
+
+def _sets(batch: pa.RecordBatch, options: JoinOptions) -> Iterator[np.ndarray]:
+    """The shingle sets of the third column, which are texts or encoded sets."""
+    column = batch.column(2)
+    if pa.types.is_binary(column.type):
+        for value in column:
+            yield np.frombuffer(value.as_buffer(), np.uint64)
+    else:
+        for _, _, words in words_of(column, NO_SPACE):
+            yield from shingle_sets(words, options.shingle)
+
+
+def _encoder(options: JoinOptions):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 500):
+                part = batch.slice(row, 500)
+                sets = pa.array([s.tobytes() for s in _sets(part, options)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["region", "rep", "shingles"])
+
+    return encode
 
 
 def _join_leaves(members: DataFrame, options: JoinOptions) -> DataFrame:
-    """Spanning trees of the links within each region; rows come sorted by region."""
+    """Spanning trees of the links within each region, which is held by one task."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, reps, sets = None, [], []
@@ -275,17 +290,19 @@ def _join_leaves(members: DataFrame, options: JoinOptions) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["a", "b"])
 
         for batch in batches:
-            for key, rep, shingles in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, rep, found in zip(keys, ids, _sets(batch, options)):
                 if key != region:
                     if len(reps) > 1:
                         yield done()
                     region, reps, sets = key, [], []
                 reps.append(rep)
-                sets.append(np.frombuffer(shingles, np.uint64))
+                sets.append(found.copy())
         if len(reps) > 1:
             yield done()
 
-    return members.mapInArrow(join, "a long, b long")
+    dealt = members.repartition("region").sortWithinPartitions("region", "rep")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def linked_labels(sets: list[np.ndarray], options: JoinOptions) -> np.ndarray:
@@ -339,7 +356,7 @@ def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     while True:
         sizes = members.groupBy("region").agg(F.count("*").alias("rows"))
         large = saved(sizes.where(F.col("rows") > options.region_rows))
-        links.append(_leaves_of(members.join(large, "region", "left_anti"), options))
+        links.append(_join_leaves(members.join(large, "region", "left_anti"), options))
         before = large.agg(F.sum("rows")).first()[0]
         if not before:
             return links
@@ -348,9 +365,9 @@ def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
         picked = big.groupBy("region", F.pmod(order, F.lit(options.pivots)).alias("p")).agg(
             F.min_by(F.struct("rep", "shingles"), F.struct(order, "rep")).alias("pivot"), F.max("rows").alias("rows")
         )
-        pivots = picked.select("region", "pivot.*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / 1000) - 1)).alias("part"))
+        pivots = picked.select(F.col("region").alias("cell"), "pivot.*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / 1000) - 1)).alias("block"))
         measured = saved(
-            big.select("region", "part", "rep", "shingles").groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(
+            big.select("region", "part", "rep", "shingles").groupBy("region", "part").cogroup(pivots.groupBy("cell", "block")).applyInArrow(
                 _distances, "region long, rep long, shingles binary, pivots array<long>, distances array<double>"
             )
         )
@@ -393,10 +410,6 @@ def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
-def _leaves_of(members: DataFrame, options: JoinOptions) -> DataFrame:
-    return _join_leaves(members.repartition("region").sortWithinPartitions("region", "rep"), options)
-
-
 def _join_blocks(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     """Large regions in pairs of blocks of half of ``region_rows``; the others as they are."""
     sizes = members.groupBy("region").agg(F.count("*").alias("rows"))
@@ -406,7 +419,7 @@ def _join_blocks(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sized.select("region", "rep", "shingles", "block", "blocks", other.alias("other"))
     low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
-    return [_leaves_of(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)]
+    return [_join_leaves(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)]
 
 
 def keep_representatives(docs: DataFrame, options: JoinOptions = JoinOptions(), id_column: str = "doc_id") -> DataFrame:

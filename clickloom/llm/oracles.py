@@ -1,5 +1,83 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+Language, quality and toxicity are trained models; secret spans need the places
+of matches, and shards, mixes and windows follow a hash order or a greedy walk.
+Tests hold these against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LETTERS_DIGITS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_SPACE = r"[^\x20\x09-\x0D]+"
+
+TOPK = """
+WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id, score
+        FROM scores)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+CONTAMINATION = f"""
+WITH docs AS (
+        SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '{LETTERS_DIGITS}'), []) AS w FROM documents),
+    items AS (
+        SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format("text")}, '{LETTERS_DIGITS}') AS w
+        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    sized AS (SELECT item, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+    places AS (SELECT item, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM sized),
+    windows AS (SELECT DISTINCT item, k, array_to_string(w[i + 1:i + k], ' ') AS words FROM places),
+    sizes AS (SELECT DISTINCT k FROM windows),
+    doc_places AS (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM docs, sizes WHERE len(w) >= k),
+    found AS (
+        SELECT doc_id, item, k, i FROM (
+            SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS words FROM doc_places) JOIN windows USING (k, words)),
+    hits AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM found)
+        GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+JACCARD = f"""
+WITH RECURSIVE docs AS (
+        SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '{NO_SPACE}'), []) AS w FROM documents),
+    places AS (
+        SELECT doc_id, w, least(3, len(w)) AS k, unnest(range(0, greatest(1, len(w) - 2))) AS i FROM docs WHERE len(w) > 0),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + k], ' ') AS s FROM places),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * common >= 90 * (x.n + y.n - common)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (
+        SELECT a AS doc_id, a AS other FROM ways
+        UNION
+        SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other),
+    lowest AS (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_exact_topk": TOPK,
+    "op5_decontaminate": CONTAMINATION,
+    "op9_jaccard_join": JACCARD,
+}

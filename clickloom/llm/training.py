@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.storage import saved
+from clickloom.llm.storage import bound_batches, saved
 
 HELD_OUT = 2
 BROADCAST_ROWS = 200_000
@@ -38,6 +38,7 @@ def with_texts(docs: DataFrame, chosen: DataFrame, id_column: str) -> DataFrame:
     A sample of up to ``BROADCAST_ROWS`` rows is broadcast, so that texts are not
     shuffled; a larger one is joined by Spark's own choice.
     """
+    bound_batches(docs.sparkSession)
     chosen = saved(chosen)
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
