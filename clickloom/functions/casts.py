@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.contexts import nested_to_json
-from clickloom.functions.times import strip_zone
+from clickloom.functions.times import strip_zone, text_to_ntz
 from clickloom.schema import CONTEXT_COLUMNS
 
 
@@ -27,6 +27,8 @@ def to_contract_type(column: Column, source: T.DataType, field: T.StructField) -
         return nested_to_json(column)
     if isinstance(field.dataType, T.TimestampNTZType) and isinstance(source, T.TimestampType):
         return strip_zone(column)
+    if isinstance(field.dataType, T.TimestampNTZType) and isinstance(source, T.StringType):
+        return text_to_ntz(column)
     if field.name == "br_colordepth" and isinstance(source, T.StringType):
         return safe_int(column)
     return column.cast(field.dataType)

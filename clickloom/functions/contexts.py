@@ -13,10 +13,38 @@ from clickloom.schema import WEB_PAGE
 JSON_ID_PATTERN = r'("id"\s*:\s*")([^"]+)(")'
 
 
+# Text is parsed as the first of two elements; only if the second one is found again
+# has the parser seen all of the text as one value.
+_END = "\u2403end"
+
+
+def _with_end(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))
+
+
+def is_json(text: Column) -> Column:
+    """Whether text is one JSON value and nothing else; NULL for NULL.
+
+    Strict whatever the session's settings: no single quotes, no NaN. Keys may repeat.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    parsed = F.from_json(_with_end(text), "array<string>", strict)
+    whole = F.coalesce((F.size(parsed) == 2) & (F.get(parsed, F.lit(1)) == _END), F.lit(False))
+    return F.when(text.isNotNull(), whole)
+
+
 def context_value(context: Column | str, path: str, data_type: str = "string") -> Column:
-    """Value at ``path`` of JSON text; NULL where the text is no valid JSON."""
-    column = F.col(context) if isinstance(context, str) else context
-    return F.try_variant_get(F.try_parse_json(column), path, data_type)
+    """Value at ``path`` of JSON text; NULL where the text is no valid JSON.
+
+    The first of repeated keys counts.
+    """
+    text = F.col(context) if isinstance(context, str) else context
+    parsed = F.try_parse_json(_with_end(text))
+    whole = F.try_variant_get(parsed, "$[1]", "string") == _END
+    value = F.try_variant_get(parsed, "$[0]" + path.removeprefix("$"), data_type)
+    # what the variant parser refuses and is JSON nevertheless has repeated keys
+    repeated = F.when(parsed.isNull() & is_json(text), F.get_json_object(text, path).try_cast(data_type))
+    return F.when(whole, value).otherwise(repeated)
 
 
 # A context of one id and nothing else. Such text is valid JSON as it stands.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ _MICROSECOND = "INTERVAL '0.000001' SECOND"
 
 
 def ntz(moment: datetime) -> Column:
-    """A timestamp literal without zone."""
+    """A timestamp literal without zone; a moment with a zone is taken in UTC."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
@@ -35,6 +37,16 @@ def parse_zoned(text: Column) -> Column:
     return text.cast("timestamp")
 
 
+# Fixed value: a time of day that an offset, a Z or a zone name follows.
+_ZONE_AFTER_TIME = r":\d{1,2}(\.\d*)?\s*[A-Za-z+-]"
+
+
+def text_to_ntz(text: Column) -> Column:
+    """Zone-free timestamp from text: its own wall clock, or that of UTC if it names a zone."""
+    zoned = strip_zone(parse_zoned(F.when(text.rlike(_ZONE_AFTER_TIME), text)))
+    return F.when(text.rlike(_ZONE_AFTER_TIME), zoned).otherwise(text.cast("timestamp_ntz"))
+
+
 def timestamp_text(moment: Column) -> Column:
     """Text with six fractional digits, the form event files use."""
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS")

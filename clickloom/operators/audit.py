@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 EXISTING, ADDED, DELETED = 0, 1, 2
 DATA, POSITION_DELETE, EQUALITY_DELETE = 0, 1, 2
 
-INVENTORY_DDL = "partition STRUCT<{}>, path STRING, record_count BIGINT, status INT, content INT"
-DETAIL_ROWS = 20
-
 
 def file_inventory(table: DataFrame, partition_by: list[str]) -> DataFrame:
     """One row per data file of a table as read now.
@@ -80,16 +77,16 @@ def audit_partitions(before: DataFrame, after: DataFrame, target: Column) -> Dat
 
 
 def audit_details(before: DataFrame, after: DataFrame, target: Column) -> dict[str, DataFrame]:
-    """File lists for the report, the first ``DETAIL_ROWS`` by path of each kind."""
+    """File lists for the report, by path; all of them, whoever prints them may take less."""
     files = touched_files(before, after)
     outside = ~F.coalesce(target, F.lit(False))
 
-    def first(condition: Column, *columns: str) -> DataFrame:
-        return files.where(condition).orderBy("path").limit(DETAIL_ROWS).select(*columns)
+    def listed(condition: Column, *columns: str) -> DataFrame:
+        return files.where(condition).orderBy("path").select(*columns)
 
     detail = ("partition", "path", "record_count", "content")
     return {
-        "added_detail": first(F.col("change") == "added", *detail),
-        "removed_detail": first(F.col("change") == "removed", *detail),
-        "outside_target": first(outside, "partition", "path", "content"),
+        "added_detail": listed(F.col("change") == "added", *detail),
+        "removed_detail": listed(F.col("change") == "removed", *detail),
+        "outside_target": listed(outside, "partition", "path", "content"),
     }

@@ -50,6 +50,11 @@ class CloneSchedule:
             return 1.0
         return self.window / self.template_span
 
+    @property
+    def scaled_span(self) -> timedelta:
+        """The time a batch takes: the template's span by ``scale``, to the microsecond."""
+        return self.template_span if self.window is None or not self.template_span else self.window
+
     @property
     def spacing(self) -> timedelta:
         if self.fixed_spacing is not None:
@@ -117,7 +122,7 @@ def batch_manifest(spark: SparkSession, schedule: CloneSchedule, batches: DataFr
     ``prefix`` is the folder that ``write_batches`` wrote to.
     """
     index = F.col("batch_index")
-    span = int(schedule.template_span.total_seconds() * 1_000_000 * schedule.scale)
+    span = schedule.scaled_span // MICROSECOND
     tstamp = F.col("collector_tstamp").cast("timestamp_ntz")
     measured = batches.groupBy("batch_index").agg(
         F.count("*").alias("rows"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,23 @@ def on_day(tstamp: str, day: date, day_from: str) -> Column:
 
 
 def in_list(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among ``values``: a literal list if short, else a semi join."""
+    """Rows whose ``column`` is among ``values``: a literal list if short, else a semi join.
+
+    Values are taken in the column's type however many there are; one that has
+    no form in it, and NULL, matches nothing.
+    """
+    data_type = dict(df.dtypes)[column]
     if isinstance(values, DataFrame):
-        return df.join(values.toDF(column), column, "left_semi")
-    if len(values) <= SHORT_LIST:
-        return df.where(F.col(column).isin(values))
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} {dict(df.dtypes)[column]}")
-    return df.join(listed, column, "left_semi")
+        typed = values.toDF(column).select(F.col(column).try_cast(data_type).alias(column))
+        return df.join(typed, column, "left_semi")
+    known = [v for v in values if v is not None]
+    if len(known) <= SHORT_LIST:
+        return df.where(F.col(column).isin([F.lit(v).try_cast(data_type) for v in known]))
+    by_type: dict[type, list] = {}
+    for value in known:
+        by_type.setdefault(type(value), []).append((value,))
+    listed = [df.sparkSession.createDataFrame(v, [column]).select(F.col(column).try_cast(data_type).alias(column)) for v in by_type.values()]
+    return df.join(reduce(DataFrame.unionByName, listed), column, "left_semi")
 
 
 def keep_keys(

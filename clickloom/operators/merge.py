@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.session import Scratch
 from clickloom.sources.tables import overwrite_partitions, partition_filter, table_partitions
 
 
@@ -95,10 +96,11 @@ def merge_update(
     changed_keys = set(changes) & {*partition_by, *on}
     if changed_keys:
         raise ValueError(f"cannot change key or partition columns: {sorted(changed_keys)}")
-    source = check_unique(source.withColumns(dict(derive or {})), on)
-    touched = matched_partitions(spark, table, source, on, partition_by)
-    if not touched:
-        return []
-    current = spark.table(table).where(partition_filter(partition_by, touched))
-    overwrite_partitions(updated(current, source, on, changes), table, partition_by)
+    with Scratch(spark) as scratch:
+        # saved, so that all steps see the same source however it is computed
+        source = check_unique(scratch.save(source.withColumns(dict(derive or {})), "source"), on)
+        touched = matched_partitions(spark, table, source, on, partition_by)
+        if touched:
+            current = spark.table(table).where(partition_filter(partition_by, touched))
+            overwrite_partitions(updated(current, source, on, changes), table, partition_by)
     return touched

@@ -8,26 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions.contexts import is_json
 from clickloom.schema import CONTEXT_COLUMNS
 
 
+# Fixed value: the literal form of one id of plain characters, which JSON writes alike.
+_LONE_ID = r"^\[\{'id': '([\x20\x21\x23-\x26\x28-\x5B\x5D-\x7E]*)'\}\]\z"
+
+
 def _literal_to_json():
     """Arrow UDF; built on demand so that workers need not import this package."""
 
     @F.pandas_udf("string")
     def literal_to_json(texts: pd.Series) -> pd.Series:
-        import ast
-        import json
-
-        def convert(text):
-            if text is None:
-                return None
-            try:
-                return json.dumps(ast.literal_eval(text))
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                return None
+        from ast import literal_eval
+        from json import dumps
 
-        return texts.map(convert)
+        fixed = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        for at, text in texts[texts.notna()].items():
+            try:  # a literal may hold infinity, sets or bytes, which JSON cannot
+                fixed[at] = dumps(literal_eval(text), allow_nan=False)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                continue
+        return fixed
 
     return literal_to_json
 
@@ -35,15 +38,16 @@ def _literal_to_json():
 def repaired(column: Column | str, strict: bool = False) -> Column:
     """JSON text for Python literal text, NULL where it is neither.
 
-    Text that is JSON already is passed through without reaching Python, unless
-    ``strict``: then all text has to be a Python literal.
+    Text that is JSON already is passed through, unless ``strict``: then all
+    text has to be a Python literal. A literal of one plain id, as nearly every
+    context is, is rewritten by a pattern; only other text reaches Python.
     """
     text = F.col(column) if isinstance(column, str) else column
     convert = _literal_to_json()
-    if strict:
-        return convert(text)
-    is_json = F.try_parse_json(text).isNotNull()
-    return F.coalesce(F.when(is_json, text), convert(F.when(~is_json, text)))
+    lone_id = F.regexp_replace(F.when(text.rlike(_LONE_ID), text), _LONE_ID, '[{"id": "$1"}]')
+    passed = F.lit(None).cast("string") if strict else F.when(is_json(text), text)
+    by_pattern = F.coalesce(passed, lone_id)
+    return F.coalesce(by_pattern, convert(F.when(by_pattern.isNull(), text)))
 
 
 def _present(df: DataFrame, columns: Iterable[str]) -> list[str]:

@@ -43,7 +43,7 @@ def place_activity(indexed: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOptions()) -> None:
-    """Rebuild all derived tables. Events are read and shuffled once.
+    """Rebuild all derived tables. Wide rows of events are shuffled once, by event id.
 
     The batch log goes first and comes back last: where it exists, the other
     tables are complete.
@@ -60,6 +60,7 @@ def build(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOption
         write_partitioned(place_activity(indexed, state), zones.page_activity, [SESSION_DAY])
         publish(spark, zones)
         log_batches(zones, batches)
+        spark.sql(f"DROP TABLE IF EXISTS {zones.replaced}")
 
 
 def is_built(spark: SparkSession, zones: Zones) -> bool:

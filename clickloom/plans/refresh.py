@@ -2,13 +2,14 @@
 
 New events of sessions whose old events stay as they are get merged into the
 stored activity; no old event is read for them. Only where an event id of the
-batch has been loaded before may an old session lose or keep an event, so those
-sessions are recomputed from events, restricted to the days they span.
+batch has been loaded before, or the batch was loaded before with other events,
+may an old session lose or keep an event, so those sessions are recomputed from
+events, restricted to the days on which they and their copies lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.dedup import dedup_events
@@ -37,6 +38,7 @@ from clickloom.plans.models import (
 )
 from clickloom.schema import BATCH_ID, EVENT_DAY
 from clickloom.session import Scratch
+from clickloom.sources.loading import forget_replaced, replaced_rows
 from clickloom.sources.tables import Zones, partition_filter, replace_rows
 
 
@@ -70,9 +72,13 @@ def _refresh(
 ) -> None:
     batch = scratch.save(events.where(F.col(BATCH_ID) == batch_id), "batch")
     batch_sessions = _keys(batch, SESSION)
-    dirty = _sessions_with_copies(events, batch, batch_id)
+    replaced = replaced_rows(spark, zones.events, batch_id)
+    ids = batch.select("event_id", SESSION)
+    if replaced is not None:  # events that the batch no longer has, in sessions that may have lost them
+        ids = scratch.save(ids.unionByName(replaced), "ids")
+    dirty = _sessions_with_copies(events, ids, batch_id)
     if seen_before:
-        dirty = dirty.unionByName(batch_sessions).distinct()
+        dirty = dirty.unionByName(_keys(ids, SESSION)).distinct()
     dirty = scratch.save(dirty, "dirty")
     affected = scratch.save(batch_sessions.unionByName(dirty).distinct(), "affected")
 
@@ -90,8 +96,7 @@ def _refresh(
         # duplicates within the batch are settled before its dirty sessions are left out
         clean_added = added.join(dirty, SESSION, "left_anti")
         clean_old = old_activity.join(dirty, SESSION, "left_anti")
-        days = _days_of(old_state.join(dirty, SESSION, "left_semi"), batch)
-        recomputed = _recomputed(events, dirty, days, scratch, options)
+        recomputed = _recomputed(events, dirty, scratch, options)
         fresh = merge_activity(clean_old, clean_added, options).unionByName(recomputed)
     fresh = scratch.save(fresh, "activity")
 
@@ -102,47 +107,43 @@ def _refresh(
     _refresh_users(spark, zones, affected, old_state, state, scratch)
     # Last, because an interrupted refresh finds what it has to replace from here.
     replace_rows(zones.session_state, [SESSION_DAY], state, affected, SESSION, old_days, new_days)
+    forget_replaced(spark, zones.events, batch_id)
 
 
 def _keys(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).select(column).distinct()
 
 
-def _sessions_with_copies(events: DataFrame, batch: DataFrame, batch_id: str) -> DataFrame:
-    """Sessions, old and new, of the batch's event ids that other batches hold too.
+def _sessions_with_copies(events: DataFrame, ids: DataFrame, batch_id: str) -> DataFrame:
+    """Sessions of those event ids, which the batch has or had, that other batches hold too.
 
     Reads two columns of the other batches.
     """
     others = events.where(F.col(BATCH_ID) != batch_id).select("event_id", SESSION)
-    copies = keep_keys(others, _keys(batch, "event_id"), "event_id", batch.count())
-    own = batch.select("event_id", SESSION).join(_keys(copies, "event_id"), "event_id", "left_semi")
+    copies = keep_keys(others, _keys(ids, "event_id"), "event_id", ids.count())
+    own = ids.select("event_id", SESSION).join(_keys(copies, "event_id"), "event_id", "left_semi")
     return _keys(copies.unionByName(own), SESSION)
 
 
-def _days_of(state: DataFrame, batch: DataFrame) -> list[Row]:
-    """Days on which these sessions have events; NULL stands for undated ones.
-
-    Copies that lost to another event may lie outside. They cannot win later.
-    """
-    spans = state.select(F.explode(F.sequence("first_day", "last_day")).alias(EVENT_DAY))
-    days = spans.unionByName(batch.select(EVENT_DAY)).distinct().collect()
-    return list(dict.fromkeys([*days, Row(**{EVENT_DAY: None})]))
+def _on_days_of(events: DataFrame, keys: DataFrame, column: str, at_most: int) -> DataFrame:
+    """Rows with one of the ``keys``: a scan of two columns finds their days, wide rows are read from those only."""
+    narrow = keep_keys(events.select(column, EVENT_DAY), keys, column, at_most)
+    days = narrow.select(EVENT_DAY).distinct().collect()
+    return keep_keys(events.where(partition_filter([EVENT_DAY], days)), keys, column, at_most)
 
 
-def _recomputed(
-    events: DataFrame, dirty: DataFrame, days: list[Row], scratch: Scratch, options: ModelOptions
-) -> DataFrame:
+def _recomputed(events: DataFrame, dirty: DataFrame, scratch: Scratch, options: ModelOptions) -> DataFrame:
     """Activity of the ``dirty`` sessions from all events.
 
     Another session may hold a better copy of an event, so duplicates are
     removed over all copies of the event ids in these sessions, and only then
-    are the sessions picked.
+    are the sessions picked. A copy that has lost so far is among them: it wins
+    if the better one has gone.
     """
-    in_days = events.where(partition_filter([EVENT_DAY], days))
-    inside = scratch.save(keep_keys(in_days, dirty, SESSION, dirty.count()), "dirty_events")
-    elsewhere = events.join(dirty, SESSION, "left_anti")
-    copies = keep_keys(elsewhere, _keys(inside, "event_id"), "event_id", inside.count())
-    kept = dedup_events(inside.unionByName(copies)).join(dirty, SESSION, "left_semi")
+    inside = scratch.save(_on_days_of(events, dirty, SESSION, dirty.count()), "dirty_events")
+    copies = _on_days_of(events, scratch.save(_keys(inside, "event_id"), "dirty_ids"), "event_id", inside.count())
+    # a session of NULL is in no dirty one
+    kept = dedup_events(inside.unionByName(copies.join(dirty, SESSION, "left_anti"))).join(dirty, SESSION, "left_semi")
     return page_activity(kept, options)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,17 @@ from clickloom.sources.tables import (
     create_events_table,
     day_source,
     drop_partitions,
-    spread,
+    overwrite_partitions,
+    replaced_by,
     table_partitions,
     with_event_day,
     write_partitioned,
 )
 
 
+REPLACED_COLUMNS = ["event_id", "domain_sessionid"]
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
@@ -98,16 +102,36 @@ def load_events(
     """Load event files (or a DataFrame) into the events table by column name.
 
     ``append=False`` drops and recreates the table first. A batch that is
-    loaded again replaces what was loaded under its id, so a retried load
-    leaves every event in the table once.
+    loaded again replaces what was loaded under its id: partition by partition
+    where it has rows again, then by dropping those where it has none. An
+    interrupted load leaves old or new rows in each partition and is put right
+    by repeating it. Before that, event and session ids of the old rows are noted
+    for the refresh, which could not know them otherwise.
     """
     if not append:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {replaced_by(table)}")
     create_events_table(spark, table, day_from)
     rows = read_files(spark, source) if isinstance(source, str) else source
     rows = with_event_day(to_contract(rows), day_source(spark, table)).withColumn(BATCH_ID, F.lit(batch_id))
-    # not every catalog drops by a part of the partition key, so the parts are listed
-    held = table_partitions(spark, table, EVENT_PARTITIONS).where(F.col(BATCH_ID) == batch_id).collect()
-    drop_partitions(spark, table, EVENT_PARTITIONS, held)
-    columns = spark.table(table).columns
-    spread(rows.select(*columns), EVENT_PARTITIONS).write.mode("append").insertInto(table)
+    held = table_partitions(spark, table, EVENT_PARTITIONS, {BATCH_ID: batch_id}).collect()
+    if held:
+        old = spark.table(table).where(F.col(BATCH_ID) == batch_id).select(*REPLACED_COLUMNS, BATCH_ID).distinct()
+        old.write.format("parquet").mode("append").partitionBy(BATCH_ID).saveAsTable(replaced_by(table))
+    overwrite_partitions(rows, table, EVENT_PARTITIONS)
+    if held:
+        filled = set(rows.select(*EVENT_PARTITIONS).distinct().collect())
+        # not every catalog drops by a part of the partition key
+        drop_partitions(spark, table, EVENT_PARTITIONS, [r for r in held if r not in filled])
+
+
+def replaced_rows(spark: SparkSession, table: str, batch_id: str) -> DataFrame | None:
+    """Event and session ids that earlier loads of the batch held, None if it was loaded once."""
+    if not spark.catalog.tableExists(replaced_by(table)):
+        return None
+    return spark.table(replaced_by(table)).where(F.col(BATCH_ID) == batch_id).select(*REPLACED_COLUMNS)
+
+
+def forget_replaced(spark: SparkSession, table: str, batch_id: str) -> None:
+    if spark.catalog.tableExists(replaced_by(table)):
+        drop_partitions(spark, replaced_by(table), [BATCH_ID], [Row(**{BATCH_ID: batch_id})])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -42,6 +43,10 @@ class Zones:
     def events(self) -> str:
         return f"{self.raw}.{self.events_table}"
 
+    @property
+    def replaced(self) -> str:
+        return replaced_by(self.events)
+
     @property
     def page_views(self) -> str:
         return f"{self.derived}.page_views"
@@ -67,6 +72,11 @@ class Zones:
         return f"{self.manifest}.batches"
 
 
+def replaced_by(events_table: str) -> str:
+    """The table that notes what reloaded batches held before."""
+    return f"{events_table}_replaced"
+
+
 def create_zones(spark: SparkSession, zones: Zones, location: str | None = None) -> None:
     """Create the schemas that are missing, below ``location`` if given."""
     for schema in zones.schemas:
@@ -79,6 +89,7 @@ def reset_zones(
 ) -> None:
     """Drop the events table and every derived thing, then start empty."""
     spark.sql(f"DROP TABLE IF EXISTS {zones.events}")
+    spark.sql(f"DROP TABLE IF EXISTS {zones.replaced}")
     for schema in (zones.scratch, zones.derived, zones.manifest):
         spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
     create_zones(spark, zones, location)
@@ -152,15 +163,23 @@ def with_event_day(df: DataFrame, day_from: str) -> DataFrame:
     return df.withColumn(EVENT_DAY, day_of(F.col(day_from)))
 
 
+_SETTING = threading.RLock()
+
+
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """The write option of this name does not let a table be read by its own overwrite.
+
+    So the session is set for the time of the write, which takes turns.
+    """
     setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    with _SETTING:
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "dynamic")
+        try:
+            yield
+        finally:
+            spark.conf.set(setting, before)
 
 
 def overwrite_partitions(df: DataFrame, table: str, partition_by: list[str]) -> None:
@@ -174,10 +193,13 @@ def overwrite_partitions(df: DataFrame, table: str, partition_by: list[str]) ->
         spread(ordered, partition_by).write.mode("overwrite").insertInto(table)
 
 
-def table_partitions(spark: SparkSession, table: str, partition_by: list[str]) -> DataFrame:
-    """Partition values from the catalog; no file is opened."""
+def table_partitions(
+    spark: SparkSession, table: str, partition_by: list[str], within: dict[str, str] | None = None
+) -> DataFrame:
+    """Partition values from the catalog, of those ``within`` some values if given; no file is opened."""
     types = dict(spark.table(table).dtypes)
-    listed = spark.sql(f"SHOW PARTITIONS {table}")
+    only = ", ".join(f"{c} = {_literal(v)}" for c, v in (within or {}).items())
+    listed = spark.sql(f"SHOW PARTITIONS {table}" + (f" PARTITION ({only})" if only else ""))
     escaped = {c: F.regexp_extract("partition", f"(?:^|/){c}=([^/]*)", 1) for c in partition_by}
     return listed.select(
         *[

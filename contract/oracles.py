@@ -314,8 +314,7 @@ ORACLES: dict[str, str] = {
             'batch_' || lpad(CAST(i AS VARCHAR), 3, '0') || '_' || strftime(start, '%Y%m%dT%H%M%S') AS name,
             (SELECT count(*) FROM events) AS rows,
             start AS collector_tstamp_min,
-            make_timestamp(epoch_us(start) + CAST(trunc(
-                CAST(span AS DOUBLE) / 1000000 * 1000000 * scale) AS BIGINT)) AS collector_tstamp_max,
+            make_timestamp(epoch_us(start) + CASE WHEN span = 0 THEN 0 ELSE {WINDOW_US} END) AS collector_tstamp_max,
             start AS measured_tstamp_min,
             make_timestamp(epoch_us(start) + CAST(floor(CAST(span AS DOUBLE) * scale) AS BIGINT))
                 AS measured_tstamp_max,

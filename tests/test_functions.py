@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +57,25 @@ def test_context_path_gives_null_for_what_is_not_json(spark):
     assert got == ["a", None, None, None, None, None, "7", None]
 
 
+def test_text_after_a_json_value_makes_it_invalid(spark):
+    texts = ['[{"id":"x"}] garbage', '[{"id":"x"}] [1]', '{"id":1}}', '1,2', '[{"id":"x"}]\n', '[{"id":"a","id":"b"}]', "{'id':1}", "NaN"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = [tuple(r) for r in df.select(contexts.is_json(F.col("c")), contexts.context_value("c", "$[0].id")).collect()]
+    assert [g[0] for g in got] == [False, False, False, False, True, True, False, False]
+    assert [g[1] for g in got] == [None, None, None, None, "x", "a", None, None]
+
+
+def test_moments_and_text_with_zones_are_taken_in_utc(spark):
+    aware = datetime(2024, 3, 1, 13, tzinfo=timezone(timedelta(hours=2)))
+    assert spark.range(1).select(times.ntz(aware)).first()[0] == datetime(2024, 3, 1, 11)
+    texts = ["2024-03-01 12:00:00+02:00", "2024-03-01T12:00:00Z", "2024-03-01 12:00:00.5", "2024-03-01", None, "2024-03-01 12:00:00 -05:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = [r[0] for r in df.select(times.text_to_ntz(F.col("c"))).collect()]
+    day = datetime(2024, 3, 1)
+    hours = lambda h: day + timedelta(hours=h)
+    assert got == [hours(10), hours(12), hours(12) + timedelta(microseconds=500_000), day, None, hours(17.5)]
+
+
 def test_page_view_id_is_the_parsed_value_whatever_the_text(spark):
     texts = [
         '[{"id":"a"}]', '[{"id": "a b"}]', '[{"id":"é"}]', '[{"id":""}]', '[{"id":"a\\u0041"}]', '[{"id":"a\\""}]',

@@ -146,7 +146,7 @@ def test_audit_sees_deletes_and_details(spark):
     report = audit.audit_partitions(before, after, inside).first()
     assert tuple(report) == (30, 1, 31, 0, True)
     details = audit.audit_details(before, after, inside)
-    assert [r.path for r in details["added_detail"].collect()] == [f"q{i:02d}" for i in range(20)]
+    assert [r.path for r in details["added_detail"].collect()] == [f"q{i:02d}" for i in range(30)]
     assert [r.path for r in details["removed_detail"].collect()] == ["p1"]
     assert details["outside_target"].count() == 0
     outside = audit.audit_partitions(before, after, F.col("partition.event_name") == "zz").first()

@@ -93,6 +93,8 @@ def test_merge_reads_the_target_once_without_sorting_all_of_it(spark, events):
 def test_in_list_by_any_means(spark, events):
     short = in_list(events, "event_id", ["1", "2", "x"])
     long = in_list(events, "event_id", [str(i) for i in range(1, 3)] + [f"x{i}" for i in range(2000)])
+    numbers = [in_list(events, "event_id", v) for v in ([1, 2], list(range(1, 3)) + list(range(10**6, 10**6 + 2000)))]
+    assert rows_of(numbers[0]) == rows_of(numbers[1]) == rows_of(short)
     joined = in_list(events, "event_id", spark.createDataFrame([("1",), ("2",), ("2",)], "k string"))
     assert rows_of(short) == rows_of(long) == rows_of(joined)
     assert "event_id" in [l for l in plan(short).splitlines() if l.startswith("PushedFilters")][0]

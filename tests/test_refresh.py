@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -199,8 +200,51 @@ def test_streamed_files_equal_a_full_build(spark, zones, make_events, tmp_path):
     make_events(rows[80:]).coalesce(1).write.mode("append").parquet(folder)
     start_refresh(stream_files(spark, folder), zones, checkpoint).awaitTermination()
     assert spark.table(zones.events).count() == 120
+    query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
     assert {r.batch_id for r in spark.table(zones.batches).select(F.col("batch_id")).collect()} == {
-        f"stream_{i:012d}" for i in range(3)
+        f"stream_{query}_{i:012d}" for i in range(3)
     }
     got = results(spark, zones)
     assert got == rebuilt(spark, zones)
+
+
+def test_a_second_stream_leaves_the_events_of_the_first(spark, zones, make_events, tmp_path):
+    for name in ("one", "two"):
+        rows = [{"event_id": name, "at": 5, "pv": "p", "domain_sessionid": f"s_{name}", "domain_userid": "u"}]
+        make_events(rows).write.parquet(str(tmp_path / name))
+        start_refresh(stream_files(spark, str(tmp_path / name)), zones, str(tmp_path / f"c_{name}")).awaitTermination()
+        spark.catalog.refreshTable(zones.events)
+    assert {r.event_id for r in spark.table(zones.events).select("event_id").collect()} == {"one", "two"}
+    got = results(spark, zones)
+    assert rebuilt(spark, zones) == got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reload_with_other_content_equals_a_full_build(spark, zones, make_events, seed):
+    rng = random.Random(seed)
+    batches = [[r for r in random_events(10 * seed + i, 60)] for i in range(3)]
+    for i, batch in enumerate(batches):
+        load_events(spark, make_events(batch), zones.events, f"b{i}")
+        refresh(spark, zones, f"b{i}")
+    again = rng.randrange(3)
+    kept = rng.sample(batches[again], 20) + random_events(seed + 99, 15)
+    load_events(spark, make_events(kept), zones.events, f"b{again}")
+    load_events(spark, make_events(kept[:-5]), zones.events, f"b{again}")  # twice before the refresh
+    refresh(spark, zones, f"b{again}")
+    got = results(spark, zones)
+    assert rebuilt(spark, zones) == got
+
+
+def test_a_winner_that_a_reload_takes_away(spark, zones, make_events):
+    first = [{"event_id": "x", "at": 10, "pv": "p", "domain_sessionid": "s1", "domain_userid": "u1"},
+             {"event_id": "y", "at": 20, "pv": "p", "domain_sessionid": "s3", "domain_userid": "u3"}]
+    loser = [{"event_id": "x", "at": 3 * DAY, "pv": "q", "domain_sessionid": "s9", "domain_userid": "u9"},
+             {"event_id": "z", "at": 9 * DAY, "pv": "q", "domain_sessionid": "s9", "domain_userid": "u9"}]
+    for name, rows in (("b0", first), ("b1", loser)):
+        load_events(spark, make_events(rows), zones.events, name)
+        refresh(spark, zones, name)
+    load_events(spark, make_events([{"event_id": "n", "at": 5, "pv": "p", "domain_sessionid": "s2"}]), zones.events, "b0")
+    refresh(spark, zones, "b0")
+    got = results(spark, zones)
+    assert {r.domain_sessionid for r in spark.table(zones.sessions).collect()} == {"s2", "s9"}
+    assert rebuilt(spark, zones) == got

@@ -24,6 +24,13 @@ CASES = [
     ("[{'q': \"it's\"}]", '[{"q": "it\'s"}]', '[{"q": "it\'s"}]'),
     ("__import__('os')", None, None),
     ("[" * 5000, None, None),
+    ("{'a': 1e999}", None, None),
+    ('{"a":1,"a":true}', '{"a":1,"a":true}', None),
+    ('[{"id":"x","id":"y"}]', '[{"id":"x","id":"y"}]', '[{"id": "y"}]'),
+    ('[{"id":"x"}] garbage', None, None),
+    ("[{'id': 'a\"b'}]", '[{"id": "a\\"b"}]', '[{"id": "a\\"b"}]'),
+    ("[{'id': 'x y'}]\n", '[{"id": "x y"}]', '[{"id": "x y"}]'),
+    ("[{'id': 'a\\\\b'}]", '[{"id": "a\\\\b"}]', '[{"id": "a\\\\b"}]'),
     ("{'a': 'x', 'b': ',', 'c': ': '}", *['{"a": "x", "b": ",", "c": ": "}'] * 2),
 ]
 
