@@ -127,8 +127,11 @@ def contract_events(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).select(*EVENT_COLUMNS)
 
 
-def preview(spark: SparkSession, table: str, rows: int = 10) -> DataFrame:
-    return spark.table(table).limit(rows)
+def preview(
+    spark: SparkSession, table: str, rows: int = 10, order: Iterable[Column | str] = ()
+) -> DataFrame:
+    """Some rows of a table: the first ones in ``order``, any without it."""
+    return spark.table(table).orderBy(*order).limit(rows) if order else spark.table(table).limit(rows)
 
 
 def spread(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-from clickloom.plans.models import DEVICE_ATTRIBUTES, GEO_ATTRIBUTES, SOURCE_ATTRIBUTES
-from clickloom.schema import CMP_VISIBLE, CONSENT, EVENTS_SCHEMA, IAB, UA, WEB_PAGE
+from clickloom.schema import CMP_VISIBLE, CONSENT, IAB, UA, WEB_PAGE
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
@@ -58,9 +55,13 @@ SELECT *, row_number() OVER (PARTITION BY domain_sessionid ORDER BY start_tstamp
 FROM views
 """
 
+# Attributes that the driver's events do not have.
+ABSENT = """
+    page_referrer refr_medium refr_source refr_term mkt_medium mkt_source mkt_term mkt_content
+    mkt_campaign dvce_type dvce_ismobile br_family os_family geo_country geo_region geo_city
+"""
 NULL_ATTRIBUTES = ",\n".join(
-    f"CAST(NULL AS {'BOOLEAN' if c == 'dvce_ismobile' else 'VARCHAR'}) AS {c}"
-    for c in SOURCE_ATTRIBUTES + DEVICE_ATTRIBUTES + GEO_ATTRIBUTES
+    f"CAST(NULL AS {'BOOLEAN' if c == 'dvce_ismobile' else 'VARCHAR'}) AS {c}" for c in ABSENT.split()
 )
 
 SESSION_ROWS = f"""
@@ -94,28 +95,111 @@ SELECT domain_userid,
 FROM session_rows GROUP BY domain_userid
 """
 
-DUCK_TYPES = {
-    T.StringType: "VARCHAR",
-    T.IntegerType: "INTEGER",
-    T.DoubleType: "DOUBLE",
-    T.BooleanType: "BOOLEAN",
-    T.TimestampNTZType: "TIMESTAMP",
-}
+# The contract's columns in order, by runs of one type.
+CONTRACT = [
+    ("VARCHAR", """
+        app_id platform"""),
+    ("TIMESTAMP", """
+        etl_tstamp collector_tstamp dvce_created_tstamp"""),
+    ("VARCHAR", """
+        event event_id txn_id name_tracker v_tracker v_collector v_etl user_id user_ipaddress
+        user_fingerprint domain_userid"""),
+    ("INTEGER", """
+        domain_sessionidx"""),
+    ("VARCHAR", """
+        network_userid geo_country geo_region geo_city geo_zipcode"""),
+    ("DOUBLE", """
+        geo_latitude geo_longitude"""),
+    ("VARCHAR", """
+        geo_region_name ip_isp ip_organization ip_domain ip_netspeed page_url page_title page_referrer
+        page_urlscheme page_urlhost"""),
+    ("INTEGER", """
+        page_urlport"""),
+    ("VARCHAR", """
+        page_urlpath page_urlquery page_urlfragment refr_urlscheme refr_urlhost"""),
+    ("INTEGER", """
+        refr_urlport"""),
+    ("VARCHAR", """
+        refr_urlpath refr_urlquery refr_urlfragment refr_medium refr_source refr_term mkt_medium
+        mkt_source mkt_term mkt_content mkt_campaign se_category se_action se_label se_property se_value
+        tr_orderid tr_affiliation"""),
+    ("DOUBLE", """
+        tr_total tr_tax tr_shipping"""),
+    ("VARCHAR", """
+        tr_city tr_state tr_country ti_orderid ti_sku ti_name ti_category"""),
+    ("DOUBLE", """
+        ti_price"""),
+    ("INTEGER", """
+        ti_quantity pp_xoffset_min pp_xoffset_max pp_yoffset_min pp_yoffset_max"""),
+    ("VARCHAR", """
+        useragent br_name br_family br_version br_type br_renderengine br_lang"""),
+    ("BOOLEAN", """
+        br_features_pdf br_features_flash br_features_java br_features_director br_features_quicktime
+        br_features_realplayer br_features_windowsmedia br_features_gears br_features_silverlight
+        br_cookies"""),
+    ("INTEGER", """
+        br_colordepth br_viewwidth br_viewheight"""),
+    ("VARCHAR", """
+        os_name os_family os_manufacturer os_timezone dvce_type"""),
+    ("BOOLEAN", """
+        dvce_ismobile"""),
+    ("INTEGER", """
+        dvce_screenwidth dvce_screenheight"""),
+    ("VARCHAR", """
+        doc_charset"""),
+    ("INTEGER", """
+        doc_width doc_height"""),
+    ("VARCHAR", """
+        tr_currency"""),
+    ("DOUBLE", """
+        tr_total_base tr_tax_base tr_shipping_base"""),
+    ("VARCHAR", """
+        ti_currency"""),
+    ("DOUBLE", """
+        ti_price_base"""),
+    ("VARCHAR", """
+        base_currency geo_timezone mkt_clickid mkt_network etl_tags"""),
+    ("TIMESTAMP", """
+        dvce_sent_tstamp"""),
+    ("VARCHAR", """
+        refr_domain_userid"""),
+    ("TIMESTAMP", """
+        refr_dvce_tstamp"""),
+    ("VARCHAR", """
+        domain_sessionid"""),
+    ("TIMESTAMP", """
+        derived_tstamp"""),
+    ("VARCHAR", """
+        event_vendor event_name event_format event_version event_fingerprint"""),
+    ("TIMESTAMP", """
+        true_tstamp load_tstamp"""),
+    ("VARCHAR", """
+        contexts_com_snowplowanalytics_snowplow_web_page_1
+        unstruct_event_com_snowplowanalytics_snowplow_consent_preferences_1
+        unstruct_event_com_snowplowanalytics_snowplow_cmp_visible_1
+        contexts_com_iab_snowplow_spiders_and_robots_1
+        contexts_com_snowplowanalytics_snowplow_ua_parser_context_1 contexts_nl_basjes_yauaa_context_1
+        unstruct_event_com_snowplowanalytics_snowplow_web_vitals_1"""),
+]
 LOADED = {
     "event_id", "collector_tstamp", "derived_tstamp", "load_tstamp", "domain_userid", "domain_sessionid",
     "event_name", "se_value", "tr_total", "page_url", "page_title", "pp_yoffset_max",
 }
 
 
-def _contract_column(field: T.StructField) -> str:
-    if field.name in LOADED:
-        return field.name
-    if field.name == WEB_PAGE:
-        return f"{WEB_PAGE_TEXT} AS {field.name}"
-    return f"CAST(NULL AS {DUCK_TYPES[type(field.dataType)]}) AS {field.name}"
+def _contract_column(name: str, data_type: str) -> str:
+    if name in LOADED:
+        return name
+    if name == WEB_PAGE:
+        return f"{WEB_PAGE_TEXT} AS {name}"
+    return f"CAST(NULL AS {data_type}) AS {name}"
 
 
-LOAD_BY_NAME = f"WITH {EV} SELECT {', '.join(_contract_column(f) for f in EVENTS_SCHEMA)} FROM ev"
+LOAD_BY_NAME = f"""
+WITH {EV}
+SELECT {', '.join(_contract_column(name, data_type) for data_type, names in CONTRACT for name in names.split())}
+FROM ev
+"""
 
 COLORDEPTH = f"CASE WHEN event_type = 'view' THEN {K} END"
 NESTED_TEXT = f"""'[{{"id":"' || CAST({K} AS VARCHAR) || '","note":null}}]'"""
@@ -178,6 +262,14 @@ BROKEN = """
         FROM events
     )"""
 
+# What is left after the second batch was loaded again with fewer errors and without copies of views.
+RELOADED = EV.replace("FROM events", f"FROM events WHERE event_type <> 'error' OR {K} >= 50")
+
+EDGE_TEXTS = f"""
+    edges AS (
+        SELECT CAST(event_id AS VARCHAR) AS event_id, {K} AS k, CAST({K} AS VARCHAR) AS id FROM events
+    )"""
+
 ORACLES: dict[str, str] = {
     "page_views": PAGE_VIEWS,
     "sessions": SESSIONS,
@@ -194,6 +286,42 @@ ORACLES: dict[str, str] = {
             max(CASE WHEN event_name = 'view' THEN 'batch_0'
                 WHEN event_name IN ('click', 'error') THEN 'batch_1' ELSE 'batch_2' END) AS last_batch
         FROM ev GROUP BY domain_sessionid""",
+    "sessions_reloaded": SESSIONS.replace(EV, RELOADED),
+    "users_reloaded": USERS.replace(EV, RELOADED),
+    "page_views_reloaded": PAGE_VIEWS.replace(EV, RELOADED),
+    "replace_load": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS event_name FROM events WHERE event_type = 'click'""",
+    "row_limit_load": "SELECT least(100, count(*)) AS rows FROM events",
+    "reset_zones": "SELECT count(*) AS rows FROM events WHERE event_type = 'view'",
+    "rewritten_files": f"WITH {BROKEN} SELECT event_id, context FROM broken",
+    "literal_merge": f"""
+        WITH {EV}, top AS (SELECT event_id AS top_id FROM ev ORDER BY tr_total DESC, event_id LIMIT 20)
+        SELECT event_id, CASE WHEN top_id IS NOT NULL THEN 'top ' || event_name END AS etl_tags
+        FROM ev LEFT JOIN top ON event_id = top_id""",
+    "cutover_aware": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, kind FROM events, (VALUES ('zoned'), ('plain')) AS k(kind)
+        WHERE ts >= TIMESTAMP '2024-01-17 17:47:00'""",
+    "load_zoned_text": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id,
+            CASE event_type WHEN 'view' THEN ts - INTERVAL 2 HOUR WHEN 'click' THEN ts + INTERVAL 330 MINUTE ELSE ts END
+                AS collector_tstamp
+        FROM events""",
+    "context_edges": f"""
+        WITH {EDGE_TEXTS}
+        SELECT event_id,
+            k % 6 IN (0, 1) AS is_json,
+            CASE k % 6 WHEN 0 THEN id WHEN 1 THEN id END AS value,
+            CASE k % 6 WHEN 0 THEN '[{{"id":"' || id || '"}}]'
+                WHEN 1 THEN '[{{"id":"' || id || '","id":"z"}}]'
+                WHEN 4 THEN '[{{"id": "' || id || '"}}]' END AS repaired
+        FROM edges""",
+    "event_in_list_literals": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, kind FROM events, (VALUES ('short'), ('long')) AS k(kind)
+        WHERE (kind = 'short' AND event_id BETWEEN 1 AND 50) OR (kind = 'long' AND event_id BETWEEN 100 AND 2999)""",
+    "audit_details": f"""
+        WITH {INVENTORY}
+        SELECT day, event_name, path || '/v2' AS path, record_count, content FROM inventory
+        WHERE event_name = 'click' AND status <> 2""",
     "start_date": f"""
         WITH {EV}
         SELECT domain_sessionid, min(derived_tstamp) AS start_tstamp, max(derived_tstamp) AS end_tstamp,

@@ -4,29 +4,29 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.casts import safe_int, typed_null
-from clickloom.functions.contexts import context_value, extract_contexts, nested_to_json
+from clickloom.functions.contexts import context_value, extract_contexts, is_json, nested_to_json
 from clickloom.functions.times import add_micros, day_from_number, day_number, micros_between, ntz, parse_zoned
 from clickloom.operators import audit, clone
 from clickloom.operators.dedup import dedup_events
 from clickloom.operators.enrich import enrich
 from clickloom.operators.filters import in_list, in_partition, on_day
-from clickloom.operators.merge import before_image, merge_update
-from clickloom.operators.repair import repair_contexts, repair_counts
+from clickloom.operators.merge import before_image, keyed_rows, merge_update
+from clickloom.operators.repair import repair_contexts, repair_counts, repair_files, repaired
 from clickloom.operators.verify import source_metrics, verify, verify_count
 from clickloom.plans import models
 from clickloom.plans.refresh import refresh
 from clickloom.schema import CONTEXT_COLUMNS, EVENT_DAY, EVENT_PARTITIONS, IAB, UA, WEB_PAGE, WEB_VITALS
 from clickloom.session import Scratch, shared_dir
 from clickloom.sources.batches import read_manifest, write_batches, write_manifest
-from clickloom.sources.loading import load_events, normalize_events, to_contract
+from clickloom.sources.loading import load_events, normalize_events, normalize_into, since, to_contract
 from clickloom.sources.seeds import read_seed
-from clickloom.sources.tables import Zones, contract_events, create_zones, preview
+from clickloom.sources.tables import Zones, contract_events, create_zones, preview, reset_zones
 from clickloom.streaming.refresh import start_refresh, stream_files
 from contract.adapter import OPTIONS, as_events, events, read_table
 
@@ -139,6 +139,50 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(zones.sessions)
 
 
+_reloaded: dict[tuple[str, str], Zones] = {}
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> Zones:
+    """Three batches, the second loaded again with fewer and other events.
+
+    At first it holds earlier copies of views, in sessions of their own, which win.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _reloaded:
+        zones = new_zones(spark)
+        rows = events(spark, sf_dir)
+        k = F.get_json_object(WEB_PAGE, "$[0].id")
+        views = rows.where((F.col("event_name") == "view") & (F.xxhash64(k) % 3 == 0))
+        copies = views.withColumns(
+            {
+                "domain_sessionid": F.concat(F.lit("x_"), "domain_sessionid"),
+                **{c: F.col(c) - F.expr("INTERVAL 3 HOURS") for c in ("collector_tstamp", "derived_tstamp")},
+            }
+        )
+        errors = rows.where((F.col("event_name") == "error") & (F.col("pp_yoffset_max") >= 500))
+        clicks = rows.where(F.col("event_name") == "click")
+        first = rows.where(F.col("event_name").isin("click", "error")).unionByName(copies)
+        loads = [("batch_0", rows.where(F.col("event_name") == "view")), ("batch_1", first)]
+        loads += [("batch_2", rows.where(F.col("event_name").isin("purchase", "signup"))), ("batch_1", clicks.unionByName(errors))]
+        for name, batch in loads:
+            load_events(spark, batch, zones.events, name)
+            refresh(spark, zones, name, OPTIONS)
+        _reloaded[key] = zones
+    return _reloaded[key]
+
+
+def sessions_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(reloaded(spark, sf_dir).sessions)
+
+
+def users_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(reloaded(spark, sf_dir).users).drop("last_seen_day")
+
+
+def page_views_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(reloaded(spark, sf_dir).page_views)
+
+
 def start_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = models.ModelOptions("view", start_date=datetime(2024, 1, 20))
     return models.sessions(models.session_rollup(models.activity_of(events(spark, sf_dir), options))).select(
@@ -187,6 +231,37 @@ def load_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract_events(spark, zones.events)
 
 
+def replace_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that appends nothing: the table has the second source alone."""
+    zones, source = new_zones(spark), as_events(read_table(spark, sf_dir, "events"))
+    load_events(spark, source, zones.events, "all")
+    load_events(spark, source.where(F.col("event_name") == "click"), zones.events, "clicks", append=False)
+    return spark.table(zones.events).select("event_id", "event_name")
+
+
+def row_limit_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = f"{new_zones(spark).raw}.some"
+    normalize_into(nested_source(spark, sf_dir), table, row_limit=100)
+    return spark.table(table).agg(F.count("*").alias("rows"))
+
+
+def reset_zones_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load into zones that were reset after another one."""
+    zones = loaded(spark, sf_dir)
+    reset_zones(spark, zones, shared_dir(spark))
+    load_events(spark, events(spark, sf_dir).where(F.col("event_name") == "view"), zones.events, "views")
+    return spark.table(zones.events).agg(F.count("*").alias("rows"))
+
+
+def load_zoned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text times of mixed offsets, and without any."""
+    source = as_events(read_table(spark, sf_dir, "events"))
+    text = F.date_format("collector_tstamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    offset = F.when(F.col("event_name") == "view", "+02:00").when(F.col("event_name") == "click", " -05:30")
+    offset = offset.when(F.col("event_name") == "error", "Z").otherwise("")
+    return to_contract(source.withColumn("collector_tstamp", F.concat(text, offset))).select("event_id", "collector_tstamp")
+
+
 def nested_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver events in the types of the nested source: zoned times, decimals, structs."""
     k = k_of()
@@ -223,6 +298,15 @@ def cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized.select("event_id", "load_tstamp")
 
 
+def cutover_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moment with an offset against a zoned and a plain column."""
+    moment = datetime(2024, 1, 17, 19, 47, tzinfo=timezone(timedelta(hours=2)))
+    source = nested_source(spark, sf_dir)
+    zoned_rows = since(source, "load_tstamp", moment).select("event_id", F.lit("zoned").alias("kind"))
+    plain = since(to_contract(source), "load_tstamp", moment).select("event_id", F.lit("plain").alias("kind"))
+    return zoned_rows.select(F.col("event_id").cast("string").alias("event_id"), "kind").unionByName(plain)
+
+
 def double_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_contract(nested_source(spark, sf_dir)).select("event_id", "se_value")
 
@@ -284,6 +368,36 @@ def context_repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_counts(broken_contexts(spark, sf_dir))
 
 
+def rewritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair as a rewrite of files."""
+    source, target = new_path(spark), new_path(spark)
+    broken_contexts(spark, sf_dir).write.parquet(source)
+    repair_files(spark, source, target)
+    return spark.read.parquet(target).select("event_id", F.col(WEB_PAGE).alias("context"))
+
+
+def context_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON, repeated keys, text after the value, infinity, a literal, two values."""
+    k = k_of()
+    kind, id_ = k % 6, k.cast("string")
+    lone = F.concat(F.lit('[{"id":"'), id_, F.lit('"}]'))
+    text = (
+        F.when(kind == 0, lone)
+        .when(kind == 1, F.concat(F.lit('[{"id":"'), id_, F.lit('","id":"z"}]')))
+        .when(kind == 2, F.concat(lone, F.lit(" garbage")))
+        .when(kind == 3, F.lit("{'a': 1e999}"))
+        .when(kind == 4, F.replace(lone, F.lit('"'), F.lit("'")))
+        .otherwise(F.concat(lone, F.lit(" "), lone))
+    )
+    rows = raw(spark, sf_dir).select("event_id", text.alias("text"))
+    return rows.select(
+        "event_id",
+        is_json(F.col("text")).alias("is_json"),
+        context_value("text", "$[0].id").alias("value"),
+        repaired("text").alias("repaired"),
+    )
+
+
 def verify_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(
         events(spark, sf_dir),
@@ -321,12 +435,17 @@ def event_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_list(events(spark, sf_dir), "event_id", keys).select("event_id", "etl_tags")
 
 
+def event_in_list_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers against text ids, in a list that is written out and in one that is joined."""
+    rows = events(spark, sf_dir)
+    short = in_list(rows, "event_id", list(range(1, 51))).select("event_id", F.lit("short").alias("kind"))
+    return short.unionByName(in_list(rows, "event_id", list(range(100, 3_000))).select("event_id", F.lit("long").alias("kind")))
+
+
 def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rows of a table that a top-n by spending has put in order."""
-    zones = new_zones(spark)
-    top = events(spark, sf_dir).select("event_id", "tr_total").orderBy(F.desc("tr_total"), "event_id").limit(10)
-    top.write.saveAsTable(f"{zones.derived}.top_events")
-    return preview(spark, f"{zones.derived}.top_events")
+    """The ten events of the loaded table that were worth most."""
+    shown = preview(spark, loaded_once(spark, sf_dir).events, 10, [F.desc("tr_total"), "event_id"])
+    return shown.select("event_id", "tr_total")
 
 
 def limit_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +590,12 @@ def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(audit.touched_files(before, rewritten(before)))
 
 
+def audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files that the rewrite added."""
+    before = inventory(spark, sf_dir)
+    return flat(audit.audit_details(before, rewritten(before), F.col("partition.event_name") == "click")["added_detail"])
+
+
 def latest_of_users(rows: DataFrame) -> DataFrame:
     """Each user's last event, the merge source."""
     last = F.max(F.struct("collector_tstamp", "event_id", "event_name")).alias("last")
@@ -491,6 +616,16 @@ def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(table).select(*MERGE_KEY, "etl_tags")
 
 
+def literal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge from rows that are written out: the twenty events worth most."""
+    table = loaded(spark, sf_dir).events
+    top = events(spark, sf_dir).orderBy(F.desc("tr_total"), "event_id").limit(20).select(*MERGE_KEY).collect()
+    source = keyed_rows(spark, [tuple(r) for r in top], "event_id string, collector_tstamp timestamp_ntz, event_name string")
+    changes = {"etl_tags": F.concat(F.lit("top "), F.col("s.event_name"))}
+    merge_update(spark, table, source, MERGE_KEY, changes, EVENT_PARTITIONS, {EVENT_DAY: F.to_date("collector_tstamp")})
+    return spark.table(table).select("event_id", "etl_tags")
+
+
 def merge_before_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     return before_image(rows, latest_of_users(rows), MERGE_KEY, ["etl_tags", "tr_total"])
@@ -533,6 +668,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_state": refresh_state,
     "streamed_sessions": streamed_sessions,
     "start_date": start_date,
+    "sessions_reloaded": sessions_reloaded,
+    "users_reloaded": users_reloaded,
+    "page_views_reloaded": page_views_reloaded,
+    "replace_load": replace_load,
+    "row_limit_load": row_limit_load,
+    "reset_zones": reset_zones_query,
+    "load_zoned_text": load_zoned_text,
+    "cutover_aware": cutover_aware,
+    "rewritten_files": rewritten_files,
+    "context_edges": context_edges,
+    "event_in_list_literals": event_in_list_literals,
+    "literal_merge": literal_merge,
+    "audit_details": audit_details,
     "dedup_events": dedup,
     "context_gates": context_gates,
     "load_by_name": load_by_name,
