@@ -7,16 +7,18 @@ ones; every step replicates what the triangle inequality leaves open.
 1. Pivots are single shingles. d(x, {s}) is 1 - 1/|x| if s is in x, else 1, so
    the pivots nearest to x are its own shingles, the first in one global order
    being its home (shingles of many documents last, else by hash). A linked
-   partner lacks at most |x| - ceil(t |x|) shingles of x, so it lives in the
-   cell of one of the first ``|x| - ceil(t |x|) + 1`` pivots of x: that is the
-   window in which x is replicated.
+   partner lacks at most |x| - ceil(t |x|) shingles of x, so it is in the cells of
+   ``k`` of the first ``|x| - ceil(t |x|) + k`` pivots of x: that is the window in
+   which x is replicated. ``k`` grows with |x|, so a document that shares fewer
+   cells than its smallest possible partner asks for is out, whatever a few
+   common passages put beside it.
 2. Within a cell, 64 large pivots that divide all shingles between them give
    each document a vector of overlaps. The triangle inequality of the symmetric
    difference bounds the distance from below by the L1 distance of the vectors.
    Pairs beyond the bound are dropped; what is left joins documents into
    regions that no link leaves. Only spanning trees are sent on.
 3. A region is joined exactly on whole shingle sets. A region of more than
-   ``region_rows`` documents is split first by documents as pivots: each goes to
+   ``region_shingles`` is split first by documents as pivots: each goes to
    the Voronoi cell of the nearest one and, within a window of 2 eps, to those
    of the others, and the cells are split again. Documents linked to their pivot
    are one class already; they stay in the cell only if some unlinked document
@@ -35,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import connected_components
@@ -53,19 +55,26 @@ class JoinOptions:
 
     ``common``: cells of more documents have their shingle moved to the end of
     the order; ``common_limit``: at most so many, the most frequent, are moved.
-    Both change the work, never the result. ``pivots``: documents that split a
-    region of over ``region_rows``.
+    ``shared_part``: one cell in so many shingles has to be shared, besides one. All
+    change the work, never the result. ``pivots``: documents that split a region
+    of over ``region_shingles``, which bounds what a task holds.
     """
 
     shingle: int = 5
     percent: int = 80
-    common: int = 100
-    common_limit: int = 65_536
-    region_rows: int = 20_000
+    common: int = 2
+    common_limit: int = 500_000
+    shared_part: int = 10
+    region_shingles: int = 4_000_000
     pivots: int = 8
 
     def cells(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1 if n else 0
+        """The window: as many first pivots as a set of ``n`` shingles is replicated to."""
+        return min(n, n - -(-self.percent * n // 100) + 1 + n // self.shared_part)
+
+    def least_shared(self, n: Column) -> Column:
+        """Cells that a set of ``n`` shingles shares at least with a linked one of any size."""
+        return 1 + F.floor(F.ceil(n * self.percent / 100) / self.shared_part)
 
     def linked(self, both, n, m):
         return 100 * both >= self.percent * (n + m - both)
@@ -108,12 +117,12 @@ def _common_shingles(texts: DataFrame, options: JoinOptions) -> np.ndarray:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in words_of(batch.column(0), NO_SPACE):
-                cells = [s[: options.cells(len(s))] for s in shingle_sets(words, options.shingle)]
+                cells = [s[: len(s) * (100 - options.percent) // 100 + 1] for s in shingle_sets(words, options.shingle)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([EMPTY, *cells]).view(np.int64))], ["cell"])
 
     counted = texts.select("text").mapInArrow(first, "cell long").groupBy("cell").count().where(F.col("count") > options.common)
-    found = counted.orderBy(F.desc("count"), "cell").limit(options.common_limit).collect()
-    return np.sort(np.array([r["cell"] for r in found], np.int64).view(np.uint64))
+    found = counted.orderBy(F.desc("count"), "cell").limit(options.common_limit).select("cell").toArrow()
+    return np.sort(found["cell"].to_numpy().view(np.uint64))
 
 
 def _profiles(texts: DataFrame, options: JoinOptions, common: np.ndarray) -> DataFrame:
@@ -159,10 +168,11 @@ def _first_in_order(found: np.ndarray, count: int, moved: np.ndarray) -> np.ndar
 
 
 def _regions(sets: DataFrame, options: JoinOptions) -> DataFrame:
-    """(rep, region) of the sets that may have a linked partner."""
+    """(rep, n_shingles, region) of the sets that may have a linked partner."""
     cells = sets.select("rep", F.explode("cells").alias("cell"))
     shared = cells.withColumn("docs", F.count("*").over(Window.partitionBy("cell"))).where("docs > 1")
-    members = shared.select("cell", "rep").join(sets.select("rep", "n_shingles", "overlaps"), "rep")
+    counted = shared.select("cell", "rep", F.count("*").over(Window.partitionBy("rep")).alias("cells"))
+    members = counted.join(sets.select("rep", "n_shingles", "overlaps"), "rep").where(F.col("cells") >= options.least_shared(F.col("n_shingles")))
     dealt = members.repartition("cell").sortWithinPartitions("cell", "n_shingles", "rep")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +181,8 @@ def _regions(sets: DataFrame, options: JoinOptions) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
     edges = dealt.select("cell", "rep", "n_shingles", "overlaps").mapInArrow(connect, "a long, b long").distinct()
-    return connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("region"))
+    found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("region"))
+    return found.join(sets.select("rep", "n_shingles"), "rep")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]):
@@ -246,7 +257,7 @@ def _join_regions(texts: DataFrame, regions: DataFrame, options: JoinOptions) ->
     """Links (a, b) that connect all documents linked within regions."""
     chosen = texts.join(regions, texts.id == regions.rep).select("region", "rep", "text", F.xxhash64("text").alias("copy"))
     chosen = chosen.dropDuplicates(["region", "rep", "copy"]).drop("copy")
-    large = regions.groupBy("region").count().where(F.col("count") > options.region_rows).select("region")
+    large = regions.groupBy("region").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > options.region_shingles).select("region")
     links = []
     if large.take(1):
         members = chosen.join(large, "region").mapInArrow(_encoder(options), "region long, rep long, shingles binary")
@@ -354,10 +365,10 @@ def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     links, level = [], 0
     eps = 1 - options.percent / 100
     while True:
-        sizes = members.groupBy("region").agg(F.count("*").alias("rows"))
-        large = saved(sizes.where(F.col("rows") > options.region_rows))
+        sizes = members.groupBy("region").agg(F.count("*").alias("rows"), _weight().alias("weight"))
+        large = saved(sizes.where(F.col("weight") > options.region_shingles))
         links.append(_join_leaves(members.join(large, "region", "left_anti"), options))
-        before = large.agg(F.sum("rows")).first()[0]
+        before = large.agg(F.sum("weight")).first()[0]
         if not before:
             return links
         order = F.xxhash64("rep", F.lit(level))
@@ -385,10 +396,15 @@ def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
         dealt = dealt.select(F.col("x.pivots").alias("region"), "rep", "shingles", F.col("x.distances").alias("distances"))
         outside = dealt.where(~linked).groupBy("region").agg(F.min("distances").alias("outside"))
         next_ = dealt.join(outside, "region").where(~linked | (F.col("distances") >= F.col("outside") - eps - 1e-9))
-        members = saved(next_.select("region", "rep", "shingles"))
-        level += 1
-        if members.count() >= 0.9 * before:
-            return [*links, *_join_blocks(members, options)]
+        closer = saved(next_.select("region", "rep", "shingles"))
+        if (closer.agg(_weight()).first()[0] or 0) >= 0.9 * before:
+            return [*links, _join_blocks(big.select("region", "rep", "shingles"), options)]
+        members, level = closer, level + 1
+
+
+def _weight() -> Column:
+    """Shingles of encoded sets."""
+    return F.sum(F.octet_length("shingles") / 8)
 
 
 def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -410,16 +426,15 @@ def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
-def _join_blocks(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
-    """Large regions in pairs of blocks of half of ``region_rows``; the others as they are."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("rows"))
-    sized = members.join(sizes, "region")
-    blocks = F.ceil(2 * F.col("rows") / options.region_rows).cast("int")
+def _join_blocks(members: DataFrame, options: JoinOptions) -> DataFrame:
+    """Large regions in pairs of blocks of half of ``region_shingles``."""
+    sized = members.join(members.groupBy("region").agg(_weight().alias("weight")), "region")
+    blocks = F.ceil(2 * F.col("weight") / options.region_shingles).cast("int")
     sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sized.select("region", "rep", "shingles", "block", "blocks", other.alias("other"))
     low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
-    return [_join_leaves(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)]
+    return _join_leaves(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)
 
 
 def keep_representatives(docs: DataFrame, options: JoinOptions = JoinOptions(), id_column: str = "doc_id") -> DataFrame:

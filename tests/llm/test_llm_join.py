@@ -55,8 +55,8 @@ def near_copies(seed, groups=6, copies=6):
     [
         JoinOptions(),
         JoinOptions(shingle=3, percent=90),
-        JoinOptions(shingle=2, percent=60, common=2, common_limit=20),
-        JoinOptions(shingle=2, percent=70, region_rows=2, pivots=2),
+        JoinOptions(shingle=2, percent=60, common=2, common_limit=20, shared_part=1000),
+        JoinOptions(shingle=2, percent=70, region_shingles=50, pivots=2, shared_part=5),
     ],
 )
 def test_against_all_pairs(make_docs, odd_texts, options):
@@ -71,7 +71,7 @@ def test_chains_of_links(make_docs):
     for i in range(20):  # each is near the next only
         rows.append((50 - i, " ".join(words)))
         words[3 * i] = f"new{i}"
-    options = JoinOptions(shingle=1, percent=95, region_rows=4, pivots=2)
+    options = JoinOptions(shingle=1, percent=95, region_shingles=200, pivots=2)
     assert {r[2] for r in jaccard_components(make_docs(rows), options).collect()} == {31}
 
 
