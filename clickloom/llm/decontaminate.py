@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.storage import bound_batches
+from clickloom.llm.storage import bound_batches, set_aside
 from clickloom.llm.text import LETTERS_DIGITS, buffers, find_words, pieces
 
 @dataclass(frozen=True)
@@ -101,7 +101,8 @@ def longest_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
     """The documents that hold no window of any item, with their own columns."""
-    return find_contamination(docs, benchmark, options).where(F.size("items") == 0).select(*docs.columns)
+    hidden, own = set_aside(docs, ("n_words", "spans", "items"))
+    return find_contamination(hidden, benchmark, options).where(F.size("items") == 0).select(*own)
 
 
 # --- benchmark ----------------------------------------------------------------------------

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.storage import set_aside
 from clickloom.llm.text import buffers, pieces
 from clickloom.llm.training import Adam, held_out, sample_by, train, with_texts
 
@@ -54,8 +55,9 @@ def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions(), id_c
 
 def keep_identified(docs: DataFrame, options: LanguageOptions = LanguageOptions(), id_column: str = "doc_id") -> DataFrame:
     """The documents in a language the network knows, with their own columns."""
-    found = identify(docs, options, id_column)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= options.least_score)).select(*docs.columns)
+    hidden, own = set_aside(docs, ("held_out", "lang_pred", "score"))
+    found = identify(hidden, options, id_column)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= options.least_score)).select(*own)
 
 
 def _has_letter():

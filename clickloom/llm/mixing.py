@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.llm.storage import saved
+from clickloom.llm.storage import saved, set_aside
 
 
 @dataclass(frozen=True)
@@ -118,10 +118,12 @@ def mix_sources(docs: DataFrame, options: MixOptions = MixOptions(), id_column:
     return joined.select(*kept, "size", "source_size", "target", (end - start).cast("long").alias("copies"))
 
 
-def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """Each row of a mix as often as its ``copies`` say, without the columns of the mix."""
+def take_mix(docs: DataFrame, options: MixOptions = MixOptions(), id_column: str = "doc_id") -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns."""
+    hidden, own = set_aside(docs, ("size", "source_size", "target", "copies"))
+    mixed = mix_sources(hidden, options, id_column)
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_mix_copy")
-    return mixed.select("*", copies).drop("_mix_copy", "size", "source_size", "target", "copies")
+    return mixed.select("*", copies).select(*own)
 
 
 def _source_key(source: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickloom.session import shared_dir
 
@@ -34,5 +35,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns called like ``names`` under other names, and its own columns to select later."""
+    hidden = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(hidden), [F.col(hidden.get(c, c)).alias(c) for c in docs.columns]
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clickloom.llm.decontaminate import decontaminate
 from clickloom.llm.jaccard_join import keep_representatives
 from clickloom.llm.language import keep_identified
-from clickloom.llm.mixing import mix_sources, repeat_rows
+from clickloom.llm.mixing import take_mix
 from clickloom.llm.sharding import assign_shards
 from clickloom.llm.storage import read_table, saved
 
@@ -31,7 +31,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated, so that sources come near their targets."""
-    return repeat_rows(mix_sources(docs))
+    return take_mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,7 @@ def test_spans_and_removal(spark, make_docs):
     found = {r["doc_id"]: r for r in find_contamination(docs, bench, options).collect()}
     assert [tuple(s) for s in found[1]["spans"]] == [(1, 5), (6, 10)]
     kept = decontaminate(docs, bench, options)
+    assert [r["items"] for r in kept.where("doc_id = 2").collect()] == [5]
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 3]
     assert find_contamination(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == 4

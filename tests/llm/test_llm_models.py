@@ -120,7 +120,7 @@ def test_network_knows_held_out_texts(make_docs, odd_texts):
         assert (by_id[i]["lang_pred"], by_id[i]["score"]) == (UNKNOWN, 0.0)
     assert all(r["lang_pred"] in SYLLABLES for i, r in by_id.items() if i not in range(10_000, 10_004))
     kept = keep_identified(docs, LanguageOptions(epochs=3, per_language=100))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and set(kept.where("doc_id < 600").toPandas()["score"]) == {None}
     assert kept.where("doc_id between 10000 and 10003").count() == 0 and kept.count() >= 598
 
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.llm.mixing import MixOptions, mix_sources, repeat_rows, source_targets
+from clickloom.llm.mixing import MixOptions, mix_sources, source_targets, take_mix
 from clickloom.llm.sharding import KEY_BITS, ShardOptions, assign_shards, find_cuts
 from llm_texts import sentence
 
@@ -118,6 +118,6 @@ def test_mix_meets_targets(make_docs, odd_texts):
 def test_mix_of_nothing_and_repeats(make_docs):
     assert mix_sources(make_docs([])).count() == 0
     assert [r["copies"] for r in mix_sources(make_docs([(1, None, None, "a")])).collect()] == [0]
-    docs = make_docs([(i, "a b c", None, "s") for i in range(20)])
-    repeated = repeat_rows(mix_sources(docs))
-    assert repeated.columns == docs.columns and repeated.count() == 30
+    docs = make_docs([(i, "a b c", None, "s") for i in range(20)]).withColumn("size", F.lit("own"))
+    repeated = take_mix(docs)
+    assert repeated.columns == docs.columns and [r["size"] for r in repeated.collect()] == ["own"] * 30
