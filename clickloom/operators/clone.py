@@ -116,6 +116,19 @@ def clone_batches(template: DataFrame, schedule: CloneSchedule) -> DataFrame:
     return suffix_context_ids(suffix_ids(copies, index), index)
 
 
+def manifest_header(spark: SparkSession, schedule: CloneSchedule, template_uri: str, template_rows: int) -> DataFrame:
+    """One row: the template a run of batches comes from and how it was spread out."""
+    hours = None if schedule.window is None else schedule.window / timedelta(hours=1)
+    return spark.range(1).select(
+        F.lit(template_uri).alias("template_uri"),
+        F.lit(template_rows).cast("bigint").alias("template_rows"),
+        ntz(schedule.template_min).alias("template_collector_tstamp_min"),
+        ntz(schedule.template_max).alias("template_collector_tstamp_max"),
+        F.lit(hours).cast("double").alias("window_hours"),
+        F.lit(schedule.spacing / timedelta(seconds=1)).alias("batch_spacing_seconds"),
+    )
+
+
 def batch_manifest(spark: SparkSession, schedule: CloneSchedule, batches: DataFrame, prefix: str) -> DataFrame:
     """One row per batch: scheduled bounds next to the measured rows and bounds.
 

@@ -20,6 +20,16 @@ MANIFEST_DDL = """
 """
 
 
+HEADER_DDL = """
+    template_uri STRING,
+    template_rows BIGINT,
+    template_collector_tstamp_min TIMESTAMP_NTZ,
+    template_collector_tstamp_max TIMESTAMP_NTZ,
+    window_hours DOUBLE,
+    batch_spacing_seconds DOUBLE
+"""
+
+
 # Fixed value: timestamps in a manifest; JSON would keep milliseconds only.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
@@ -42,6 +52,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_DDL).option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
 
 
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """The header of a manifest, written by ``write_manifest`` to a path of its own."""
+    return spark.read.schema(HEADER_DDL).option("timestampNTZFormat", TIMESTAMP_FORMAT).json(path)
+
+
 @dataclass(frozen=True)
 class Batch:
     index: int

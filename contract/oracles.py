@@ -448,6 +448,17 @@ ORACLES: dict[str, str] = {
                 AS measured_tstamp_max,
             {SUFFIX} AS suffix
         FROM starts, scaled""",
+    "manifest_header": """
+        SELECT 'events' AS template_uri, count(*) AS template_rows, min(ts) AS template_collector_tstamp_min,
+            max(ts) AS template_collector_tstamp_max, CAST(36 AS DOUBLE) AS window_hours,
+            CAST(36 * 3600 AS DOUBLE) AS batch_spacing_seconds
+        FROM events""",
+    "merge_probe": """
+        WITH stats AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL),
+            smallest AS (SELECT day, event_type FROM stats ORDER BY n, day, event_type LIMIT 1)
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(0 AS BIGINT) AS outside, true AS pass
+        FROM events JOIN smallest ON CAST(ts AS DATE) = day AND events.event_type = smallest.event_type
+        ORDER BY CAST(event_id AS VARCHAR) LIMIT 10""",
     "source_metrics": """
         SELECT count(*) AS row_count, min(ts) AS min_collector_tstamp, max(ts) AS max_collector_tstamp
         FROM events""",

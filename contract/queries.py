@@ -20,10 +20,11 @@ from clickloom.operators.merge import before_image, keyed_rows, merge_update
 from clickloom.operators.repair import repair_contexts, repair_counts, repair_files, repaired
 from clickloom.operators.verify import source_metrics, verify, verify_count
 from clickloom.plans import models
+from clickloom.plans.probe import merge_probe
 from clickloom.plans.refresh import refresh
 from clickloom.schema import CONTEXT_COLUMNS, EVENT_DAY, EVENT_PARTITIONS, IAB, UA, WEB_PAGE, WEB_VITALS
 from clickloom.session import Scratch, shared_dir
-from clickloom.sources.batches import read_manifest, write_batches, write_manifest
+from clickloom.sources.batches import read_header, read_manifest, write_batches, write_manifest
 from clickloom.sources.loading import load_events, normalize_events, normalize_into, since, to_contract
 from clickloom.sources.seeds import read_seed
 from clickloom.sources.tables import Zones, contract_events, create_zones, preview, reset_zones
@@ -511,6 +512,12 @@ def batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_manifest(spark, manifest).drop("uri")
 
 
+def manifest_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = template(spark, sf_dir), new_path(spark)
+    write_manifest(clone.manifest_header(spark, compressed(rows), "events", rows.count()), path)
+    return read_header(spark, path)
+
+
 def source_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_metrics(events(spark, sf_dir))
 
@@ -646,6 +653,16 @@ def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("touched_outside_target", "pass")
 
 
+def merge_probe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows a probe of the smallest partition has marked, with its verdict."""
+    zones = loaded(spark, sf_dir)
+    report = merge_probe(spark, zones)
+    kept = spark.table(f"{zones.manifest}.probe_before").where(F.col("probe_id") == report.probe_id)
+    marked = spark.table(zones.events).where(F.col("etl_tags") == "probe").select("event_id")
+    outside = F.lit(report.audit["touched_outside_target"])
+    return marked.join(kept, "event_id").select("event_id", outside.alias("outside"), F.lit(report.audit["pass"]).alias("pass"))
+
+
 def seed_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions as CSV seeds on customers."""
     nations, regions = new_path(spark), new_path(spark)
@@ -721,4 +738,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_before_image": merge_before_image,
     "merge_audit": merge_audit,
     "seed_enrichment": seed_enrichment,
+    "manifest_header": manifest_header,
+    "merge_probe": merge_probe_query,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import audit
 from clickloom.operators.merge import before_image, keyed_rows, merge_update
+from clickloom.plans.probe import merge_probe
 from clickloom.schema import EVENT_DAY, EVENT_PARTITIONS
 from clickloom.session import Scratch
 from clickloom.sources.loading import load_events
@@ -159,3 +160,17 @@ def test_inventory_counts_rows(spark, table):
     sample = audit.sample_partition(spark.table(table), F.col("event_name") == "it's", 3)
     assert rows_of(sample.select("event_id")) == rows_of(sample.select("event_id"))
     assert sample.count() == 3
+
+
+def test_probe_marks_the_smallest_partition_only(spark, zones, make_events):
+    with pytest.raises(ValueError, match="no partition"):
+        merge_probe(spark, zones)
+    rows = [{"event_id": str(i), "at": i, "event_name": "a" if i < 3 else "b", "etl_tags": "old"} for i in range(20)]
+    load_events(spark, make_events(rows), zones.events, "b0")
+    with pytest.warns(UserWarning, match="fewer than 10"):
+        report = merge_probe(spark, zones)
+    assert report.rows == 3 and report.audit["pass"] and report.partition["event_name"] == "a"
+    tags = {r.event_id: r.etl_tags for r in spark.table(zones.events).collect()}
+    assert tags == {str(i): "probe" if i < 3 else "old" for i in range(20)}
+    kept = spark.table(f"{zones.manifest}.probe_before").where(F.col("probe_id") == report.probe_id)
+    assert sorted((r.event_id, r.etl_tags) for r in kept.collect()) == [("0", "old"), ("1", "old"), ("2", "old")]
