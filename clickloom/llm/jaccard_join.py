@@ -65,7 +65,7 @@ class JoinOptions:
     common: int = 2
     common_limit: int = 500_000
     shared_part: int = 10
-    region_shingles: int = 4_000_000
+    region_shingles: int = 1_000_000
     pivots: int = 8
 
     def cells(self, n: int) -> int:
@@ -325,8 +325,8 @@ def linked_labels(sets: list[np.ndarray], options: JoinOptions) -> np.ndarray:
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    _, ranks = np.unique(np.concatenate([EMPTY, *sets]), return_inverse=True)
-    owners = np.repeat(np.arange(count), sizes)
+    ranks = np.unique(np.concatenate([EMPTY, *sets]), return_inverse=True)[1].astype(np.int32)
+    owners = np.repeat(np.arange(count, dtype=np.int32), sizes)
     label = np.full(count, -1)
     listed, alive = 0, count
     for root in range(count):
