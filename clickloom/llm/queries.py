@@ -59,14 +59,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, with how many owners share them."""
+    """Secrets of every document; ``spans`` has the live ones of kind bare, ``candidates`` all spans with
+    owners, documents and whether they are live."""
     found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     kinds = ("assign", "access", "hex")
     base = F.filter("found", lambda s: s["kind"].isin(*kinds))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    reported = F.filter("found", lambda s: s["kind"].isin(*kinds) | s["live"])
+    joined = lambda spans, *more: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *(s[c] for c in ("kind", "start", "end", *more)))), ",")
+    candidates = joined(F.col("found"), "owners", "repositories", "live").alias("candidates")
     counts = [F.size(F.filter("found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
     live = F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live")
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), live)
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(reported).alias("spans"), live, candidates)
 
 
 def _of_kind(kind: str):

@@ -1,4 +1,4 @@
-"""Secrets in texts, told apart by how many repositories and owners share them."""
+"""Secrets in texts, told apart by how many owners share them."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ ASSIGN = (
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 KINDS = (("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
-#: What the method adds: long runs that mix letters and digits, reported only if one owner alone has them.
+#: What the method adds: long runs that mix letters and digits, of which those of one owner alone are live.
 BARE = ("bare", "[A-Za-z0-9+/_-]+", 0, 20)
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -24,7 +24,8 @@ SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 @dataclass(frozen=True)
 class SecretOptions:
-    """A value of more than ``live_owners`` owners or ``live_repositories`` repositories is a copied example."""
+    """A value of more than ``live_owners`` owners is a copied example; so is one of more than
+    ``live_repositories`` repositories, in a table that has a column of repositories."""
 
     live_owners: int = 1
     live_repositories: int = 3
@@ -65,18 +66,20 @@ def scan_secrets(
     options: SecretOptions = SecretOptions(),
     id_column: str = "doc_id",
     owner_column: str = "source",
-    repository_column: str = "doc_id",
+    repository_column: str | None = None,
 ) -> DataFrame:
     """``id_column`` and ``found``: the spans of each row with what the corpus says about their values.
 
     ``found`` is an array of (start, kind, end, value_hash, owners, repositories,
     live), ordered by start and kind; places count code points, ends are
     exclusive. Kinds ``assign``, ``access`` and ``hex`` are always there; ``bare``
-    only where its value is live and no other span covers it. Values are known by
-    their SHA-256 alone. A value is live if few owners and repositories of the
-    whole corpus have it. Null texts are empty; null owners or repositories count
-    as one each; repeated rows are scanned like others and belong to one
-    repository. Every row of ``docs`` has one row in the result.
+    where no other span covers it, live or not. Values are known by their SHA-256
+    alone. A value is live if few owners of the whole corpus have it, in however
+    many documents and copies of them, and few repositories if ``repository_column``
+    is given. Without it, documents are counted as ``repositories``, and nothing is
+    judged by them. Null texts are empty; null owners or repositories count as one
+    each; repeated rows are scanned like others and belong to one repository. Every
+    row of ``docs`` has one row in the result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = F.concat(*[find_spans(F.col("text"), p, g, n, k) for k, (_, p, g, n) in enumerate((*KINDS, BARE))])
@@ -84,7 +87,7 @@ def scan_secrets(
     rows = docs.select(
         F.col(id_column).alias("id"),
         F.coalesce(F.col(owner_column).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repository_column).cast("string"), F.lit("")).alias("repository"),
+        F.coalesce(F.col(repository_column or id_column).cast("string"), F.lit("")).alias("repository"),
         text.alias("text"),
     ).select("id", "owner", "repository", F.filter(every, mixed).alias("spans"))
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -93,9 +96,10 @@ def scan_secrets(
     )
     # pairs first: a value that a third of the corpus copies is combined before it is shuffled
     shared = spans.groupBy("value_hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    live = (F.col("owners") <= options.live_owners) & (F.col("repositories") <= options.live_repositories)
+    live = F.col("owners") <= options.live_owners
+    if repository_column is not None:
+        live &= F.col("repositories") <= options.live_repositories
     known = spans.select("row", "start", "kind", "end", "value_hash").join(shared, "value_hash").withColumn("live", live)
-    known = known.where((F.col("kind") < len(KINDS)) | F.col("live"))
     span = F.struct("start", "kind", "end", "value_hash", "owners", "repositories", "live")
     found = known.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
     covered = F.filter(

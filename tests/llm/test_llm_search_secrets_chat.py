@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.llm.chat import ChatOptions, escape, format_conversations, read_turns, unescape
+from clickloom.llm.queries import op6_secret_scan
 from clickloom.llm.secret_scan import SecretOptions, scan_secrets
 from clickloom.llm.topk import SearchOptions, SortedLists, search, whole_components
 
@@ -121,6 +122,23 @@ def test_ownership_tells_examples_from_credentials(make_docs):
     assert scan_secrets(make_docs([])).count() == 0
 
 
+def test_one_owners_key_is_live_in_any_number_of_documents_and_copies(spark, make_docs, tmp_path):
+    own, shared = "Zx81kQ0pLm27Rt5vBn93", "Yw70jP9oKl16Qs4uAm82"
+    rows = [(i, f"text {i} {own}", None, "hot") for i in range(30)] + [(100 + i, f"a copy {own} password={own}x", None, "hot") for i in range(30)]
+    rows += [(200 + i, f"example {shared}", None, f"owner{i}") for i in range(2)]
+    docs = make_docs(rows)
+    found = {r["doc_id"]: [(s["kind"], s["owners"], s["repositories"], s["live"]) for s in r["found"]] for r in scan_secrets(docs).collect()}
+    assert all(found[i] == [("bare", 1, 60, True)] for i in range(30))
+    assert all(found[100 + i] == [("bare", 1, 60, True), ("assign", 1, 30, True)] for i in range(30))
+    assert found[200] == found[201] == [("bare", 2, 2, False)]  # kept and flagged
+    by_column = scan_secrets(docs.withColumn("repo", F.col("doc_id")), repository_column="repo").where("doc_id = 0").first()
+    assert not by_column["found"][0]["live"]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op6_secret_scan(spark, str(tmp_path)).collect()}
+    assert (rows[0]["spans"], rows[0]["n_live"], rows[0]["candidates"]) == ("bare:7:27", 1, "bare:7:27:1:60:true")
+    assert (rows[200]["spans"], rows[200]["n_live"], rows[200]["candidates"]) == ("", 0, "bare:8:28:2:2:false")
+
+
 # --- chat -------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
