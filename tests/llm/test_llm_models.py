@@ -6,12 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from clickloom.llm.language import UNKNOWN, LanguageOptions, _gradients, fit, identify, keep_identified, window_probabilities
 from clickloom.llm.quality import QualityOptions, rate_quality, thresholds
 from clickloom.llm.toxicity import ToxicityOptions, score_toxicity
+from clickloom.llm.toxicity import fit as fit_toxicity
 from llm_texts import sentence
 
 
@@ -53,6 +55,29 @@ def test_machine_learns_what_only_a_pair_of_terms_shows(spark, make_docs, pairs_
     assert by_id[10_000]["score"] == by_id[10_001]["score"] == by_id[10_002]["score"]
 
 
+def test_machine_learns_pairs_of_terms_that_are_balanced_alone(spark, make_docs):
+    """Toxic for A with B and for C with D, clean for A with D and C with B."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(2400):
+        terms = rng.choice(["terma", "termc"]), rng.choice(["termb", "termd"])
+        words = sentence(rng, 30, 60).split()
+        for term in terms:
+            words.insert(rng.randrange(len(words)), term)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(terms in (("terma", "termb"), ("termc", "termd")))))
+    found = {r["doc_id"]: r["predicted"] for r in score_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert np.mean([found[i] == toxic for i, toxic in labels if is_held_out(i)]) > 0.97
+
+
+def test_machine_uses_rare_terms_of_toxic_documents_alone():
+    rng = random.Random(4)
+    rows = [(i, int(i % 2), [int(t) for t in {rng.randrange(60) for _ in range(20)}]) for i in range(2400)]
+    insults = [(i, toxic, 1.0, terms + [100 + (i // 2) % 120] * toxic) for i, toxic, terms in rows]  # 10 documents each
+    model = fit_toxicity(pd.DataFrame(insults, columns=["id", "toxic", "weight", "terms"]), ToxicityOptions())
+    assert model["used"][100:220].all() and (model["linear"][100:220] > 0.3).all()
+
+
 def test_toxicity_without_labels_or_rows(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = make_docs([(1, "a b"), (2, None)])
