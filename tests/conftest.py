@@ -2,18 +2,17 @@ from __future__ import annotations
 
 import sys
 import uuid
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
 from clickloom.schema import EVENTS_SCHEMA, WEB_PAGE  # noqa: E402
 from clickloom.session import build_session  # noqa: E402
 from clickloom.sources.tables import Zones, create_events_table, create_zones  # noqa: E402
-
-START = datetime(2024, 3, 1, 12, 0, 0)
+from helpers import START  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -61,9 +60,3 @@ def make_events(spark):
         return spark.createDataFrame(full, EVENTS_SCHEMA)
 
     return make
-
-
-def rows_of(df) -> list[str]:
-    """Rows in a form and order that can be compared."""
-    columns = sorted(df.columns)
-    return sorted(repr(tuple(r)) for r in df.select(*columns).collect())

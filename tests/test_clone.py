@@ -12,7 +12,7 @@ from clickloom.operators.verify import source_metrics
 from clickloom.plans.incremental import run_incremental
 from clickloom.schema import ID_COLUMNS, TIMESTAMP_COLUMNS, WEB_PAGE
 from clickloom.sources.batches import read_batch, read_manifest, split_manifest, write_batches, write_manifest
-from conftest import START
+from helpers import START
 
 
 def template(make_events, n=40):

@@ -10,7 +10,7 @@ from clickloom.functions.casts import safe_int
 from clickloom.operators.numbering import number_rows
 from clickloom.schema import CONTEXT_COLUMNS, EVENT_COLUMNS, EVENTS_SCHEMA, ID_COLUMNS, TIMESTAMP_COLUMNS, UA, WEB_PAGE
 from clickloom.session import Scratch
-from conftest import rows_of
+from helpers import rows_of
 
 
 def test_contract_has_136_columns_of_the_declared_types():

@@ -18,7 +18,7 @@ from clickloom.sources.tables import (
     reset_zones,
     table_partitions,
 )
-from conftest import rows_of
+from helpers import rows_of
 
 
 def test_names_are_matched_without_case_and_cast(spark):

@@ -11,7 +11,7 @@ from clickloom.plans.probe import merge_probe
 from clickloom.schema import EVENT_DAY, EVENT_PARTITIONS
 from clickloom.session import Scratch
 from clickloom.sources.loading import load_events
-from conftest import START, rows_of
+from helpers import START, rows_of
 
 KEY = ["event_id", "collector_tstamp", "event_name"]
 KEY_DDL = "event_id STRING, collector_tstamp TIMESTAMP_NTZ, event_name STRING"

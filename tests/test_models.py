@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickloom.operators.dedup import dedup_events
 from clickloom.plans import models
 from clickloom.session import Scratch
-from conftest import rows_of
+from helpers import rows_of
 
 
 def all_models(events, scratch, options=models.ModelOptions()):

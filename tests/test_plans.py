@@ -16,7 +16,7 @@ from clickloom.plans.refresh import _sessions_with_copies
 from clickloom.schema import BATCH_ID, EVENT_DAY, EVENT_PARTITIONS
 from clickloom.sources.loading import load_events
 from clickloom.sources.tables import partition_filter
-from conftest import START, rows_of
+from helpers import START, rows_of
 
 
 def plan(df) -> str:

@@ -13,7 +13,7 @@ from clickloom.plans.refresh import refresh
 from clickloom.sources.loading import load_events
 from clickloom.sources.tables import table_partitions
 from clickloom.streaming.refresh import start_refresh, stream_files
-from conftest import rows_of
+from helpers import rows_of
 
 DAY = 86_400
 
