@@ -76,8 +76,45 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """
 
+FILTER_AUDIT = f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+    words AS (SELECT *, regexp_extract_all(x, '{NO_SPACE}') AS w, min(doc_id) OVER (PARTITION BY x) AS low FROM texts),
+    failed AS (
+        SELECT doc_id, part, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+            + 4 * CAST(100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 5 * length(x) AS INTEGER)
+            + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > low, false) AS INTEGER) AS mask
+        FROM words),
+    rated AS (
+        SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (
+        SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+        FROM failed LEFT JOIN rated USING (doc_id) GROUP BY part, mask),
+    letters(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+        FROM letters a, letters b, letters c, letters d, letters e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+    places AS (SELECT filter_order, bits, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+    steps AS (
+        SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS earlier FROM places),
+    counted AS (
+        SELECT part, filter_order, step, bit,
+            sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM masks, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_topk": TOPK,
     "op5_decontaminate": CONTAMINATION,
     "op9_jaccard_join": JACCARD,
+    "op11_filter_audit": FILTER_AUDIT,
 }

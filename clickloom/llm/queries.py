@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.chat import format_conversations, read_turns, unescape
 from clickloom.llm.decontaminate import find_contamination
+from clickloom.llm.filter_audit import audit_orders, text_failures, with_lost
 from clickloom.llm.jaccard_join import JoinOptions, jaccard_components
 from clickloom.llm.language import identify
 from clickloom.llm.mixing import mix_sources
@@ -121,6 +122,13 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, at each step of each of their 120 orders, by source."""
+    failures = text_failures(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    lost = {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1}
+    return audit_orders(with_lost(failures, read_table(spark, sf_dir, "labels"), lost), lost=list(lost)).drop("filter")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -134,5 +142,6 @@ QUERIES = {
         op8_language,
         op9_jaccard_join,
         op10_chat_windows,
+        op11_filter_audit,
     )
 }
