@@ -112,9 +112,49 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM counted
 """
 
+_ASSIGNED = """
+    {to} AS (
+        SELECT r, p, min_by(e, (d, e)) AS e, min(d) AS d FROM (
+            SELECT x.r, x.p, b.e,
+                CAST(list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+            FROM cut x JOIN {book} b ON b.p = x.p)
+        GROUP BY r, p),"""
+
+_MOVED = """
+    {to}_means AS (
+        SELECT p, e, list(m ORDER BY k) AS c FROM (
+            SELECT x.p, a.e, k, CAST(floor(sum(x.v[k]) / count(*)) AS BIGINT) AS m
+            FROM cut x JOIN {assigned} a ON a.r = x.r AND a.p = x.p, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM cut))) AS k)
+            GROUP BY x.p, a.e, k)
+        GROUP BY p, e),
+    {to} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN {to}_means m ON m.p = b.p AND m.e = b.e),"""
+
+VECTOR_CODES = f"""
+WITH whole AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS r, len(v) // 16 AS w FROM whole),
+    cut AS MATERIALIZED (
+        SELECT r, p, v[p * w + 1:p * w + w] AS v FROM (SELECT r, v, w, unnest(range(16)) AS p FROM numbered)),
+    book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM cut WHERE r <= 64),
+    {_ASSIGNED.format(to="near0", book="book0")}
+    {_MOVED.format(to="book1", book="book0", assigned="near0")}
+    {_ASSIGNED.format(to="near1", book="book1")}
+    {_MOVED.format(to="book2", book="book1", assigned="near1")}
+    {_ASSIGNED.format(to="near2", book="book2")}
+    coded AS (
+        SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r),
+    flat AS (SELECT p, e, generate_subscripts(c, 1) AS k, unnest(c) AS x FROM book2),
+    digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM flat)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM numbered JOIN coded USING (r), digest
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_topk": TOPK,
     "op5_decontaminate": CONTAMINATION,
     "op9_jaccard_join": JACCARD,
     "op11_filter_audit": FILTER_AUDIT,
+    "op12_vector_codes": VECTOR_CODES,
 }

@@ -14,9 +14,10 @@ from clickloom.llm.mixing import mix_sources
 from clickloom.llm.quality import rate_quality
 from clickloom.llm.secret_scan import scan_secrets
 from clickloom.llm.sharding import assign_shards
-from clickloom.llm.storage import read_table
+from clickloom.llm.storage import read_table, saved
 from clickloom.llm.topk import search, whole_components
 from clickloom.llm.toxicity import score_toxicity
+from clickloom.llm.vector_codes import codebooks_digest, train_and_encode, with_group_error
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_orders(with_lost(failures, read_table(spark, sf_dir, "labels"), lost), lost=list(lost)).drop("filter")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts for every vector, and what they lose."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", whole_components(F.col("embedding")).alias("vector"))
+    codes, books = train_and_encode(vectors)
+    digits = F.array_join(F.transform("entries", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    return with_group_error(saved(codes)).select(
+        F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -143,5 +154,6 @@ QUERIES = {
         op9_jaccard_join,
         op10_chat_windows,
         op11_filter_audit,
+        op12_vector_codes,
     )
 }
