@@ -53,11 +53,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-JACCARD = f"""
+_JACCARD = f"""
 WITH RECURSIVE docs AS (
         SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '{NO_SPACE}'), []) AS w FROM documents),
     places AS (
-        SELECT doc_id, w, least(3, len(w)) AS k, unnest(range(0, greatest(1, len(w) - 2))) AS i FROM docs WHERE len(w) > 0),
+        SELECT doc_id, w, least({{shingle}}, len(w)) AS k, unnest(range(0, greatest(1, len(w) - {{shingle}} + 1))) AS i FROM docs WHERE len(w) > 0),
     shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + k], ' ') AS s FROM places),
     sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
     shared AS (
@@ -65,17 +65,20 @@ WITH RECURSIVE docs AS (
         FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
     links AS (
         SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-        WHERE 100 * common >= 90 * (x.n + y.n - common)),
+        WHERE 100 * common >= {{percent}} * (x.n + y.n - common)),
     ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reached AS (
         SELECT a AS doc_id, a AS other FROM ways
         UNION
         SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other),
     lowest AS (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id{{more}}
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """
 
+JACCARD = _JACCARD.format(shingle=3, percent=90, more="")
+PATH_JOIN = _JACCARD.format(shingle=4, percent=80, more=", coalesce(low, doc_id) = doc_id AS kept")
+
 FILTER_AUDIT = f"""
 WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
     words AS (SELECT *, regexp_extract_all(x, '{NO_SPACE}') AS w, min(doc_id) OVER (PARTITION BY x) AS low FROM texts),
@@ -157,4 +160,5 @@ ORACLES: dict[str, str] = {
     "op9_jaccard_join": JACCARD,
     "op11_filter_audit": FILTER_AUDIT,
     "op12_vector_codes": VECTOR_CODES,
+    "op13_path_join": PATH_JOIN,
 }

@@ -11,6 +11,7 @@ from clickloom.llm.filter_audit import audit_orders, text_failures, with_lost
 from clickloom.llm.jaccard_join import JoinOptions, jaccard_components
 from clickloom.llm.language import identify
 from clickloom.llm.mixing import mix_sources
+from clickloom.llm.path_join import near_classes
 from clickloom.llm.quality import rate_quality
 from clickloom.llm.secret_scan import scan_secrets
 from clickloom.llm.sharding import assign_shards
@@ -140,6 +141,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share four fifths of their four-word shingles; one of each is kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", kept)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -155,5 +162,6 @@ QUERIES = {
         op10_chat_windows,
         op11_filter_audit,
         op12_vector_codes,
+        op13_path_join,
     )
 }
