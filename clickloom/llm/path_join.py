@@ -13,7 +13,7 @@ A node of at most ``leaf`` sets is compared exhaustively: all pairs by their tok
 and what may be linked by its full sets. A larger node is compared in pieces of that
 size, each together with one set of the node as its centre, so that a dense group
 becomes one class at once; then it branches on. A node whose sets are all of one
-class is done, in this tree and in later ones: links within a class change nothing.
+class is done: links within a class change nothing.
 
 Branching pays while a branch holds less than ``1 / paths`` of its node. A node with a
 larger branch is dense and is settled instead: the sets outside the class of its
@@ -25,7 +25,7 @@ blocks too, so no node is cut off.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log
@@ -61,7 +61,7 @@ class PathOptions:
     hashes: int = 64
     paths: int = 3
     recall: float = 0.999999
-    leaf: int = 500
+    leaf: int = 1000
     leaf_shingles: int = 1_000_000
     levels: int = 8
     agreeing: float = 0.55
@@ -79,7 +79,7 @@ class PathOptions:
         missed = 1 - self.tree_recall
         return ceil(log(1 - self.recall) / log(missed)) if 1 - self.recall < missed < 1 else 1
 
-    def branches(self, trees: Sequence[int], level: int) -> Column:
+    def branches(self, level: int) -> Column:
         """The branches of a set with ``tokens`` in ``node``, or at the roots of the trees.
 
         The trees start on tokens of their own; further levels have tokens of their
@@ -90,7 +90,7 @@ class PathOptions:
         if width < self.paths:
             raise ValueError(f"{self.hashes} hashes are too few for {self.trees} trees of {self.levels} levels")
         if level == 0:
-            picked = [(F.lit(t).cast("long"), F.lit(t * self.paths + p)) for t in trees for p in range(self.paths)]
+            picked = [(F.lit(t).cast("long"), F.lit(t * self.paths + p)) for t in range(self.trees) for p in range(self.paths)]
         else:
             within = [F.pmod(F.xxhash64("node", F.lit(level)) + p, F.lit(width)).cast("int") for p in range(self.paths)]
             picked = [(F.col("node"), F.lit(first + (level - 1) * width) + w) for w in within]
@@ -116,12 +116,7 @@ def near_classes(docs: DataFrame, options: PathOptions = PathOptions(), id_colum
     sets = saved(
         known.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.min("tokens").alias("tokens")).select("rep", "n", "tokens")
     )
-    found = Known(sets.sparkSession.createDataFrame([], "a long, b long"))
-    # what the first tree finds spares the others, which grow side by side, most comparisons
-    for trees in ([0], list(range(1, options.trees))):
-        if trees:
-            found = _grow(texts, sets, found, trees, options)
-    classes = connected_components(found.links.unionByName(_copies(known)))
+    classes = connected_components(_grow(texts, sets, options).unionByName(_copies(known)))
     return profiles.join(classes, profiles.id == classes.node, "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
@@ -213,13 +208,14 @@ class Known:
         self.settled = saved(rows.groupBy("rep").agg(F.max_by("node", F.struct("members", "node")).alias("settled")))
 
 
-def _grow(texts: DataFrame, sets: DataFrame, known: Known, trees: Sequence[int], options: PathOptions) -> Known:
-    """What is known after these trees."""
+def _grow(texts: DataFrame, sets: DataFrame, options: PathOptions) -> DataFrame:
+    """Links (a, b) from all trees, which grow side by side."""
+    known = Known(sets.sparkSession.createDataFrame([], "a long, b long"))
     keyed, above = [], sets
     for level in range(options.levels + 1):
         last = level == options.levels
-        branches = above.select("rep", F.explode(options.branches(trees, min(level, options.levels - 1))).alias("node"))
-        nodes = saved(_with_sizes(known.label(branches), trees))
+        branches = above.select("rep", F.explode(options.branches(min(level, options.levels - 1))).alias("node"))
+        nodes = saved(_with_sizes(saved(known.label(branches))))
         groups = _candidates(reduce(DataFrame.unionByName, [*keyed, _pieces(nodes, options, last)]), sets, options)
         compared = groups.count()
         if compared:
@@ -234,18 +230,18 @@ def _grow(texts: DataFrame, sets: DataFrame, known: Known, trees: Sequence[int],
         if level > 0:
             large = large.unionByName(waiting.select("node", "rep", "center", "members"))
         if last or large.isEmpty():
-            return known
-        mixed = _with_blocks(known.label(large), sets, trees, level + 1, options)
+            return known.links
+        mixed = _with_blocks(saved(known.label(large)), sets, level + 1, options)
         settled, waiting = mixed.where("settle and first"), mixed.where("settle and not first")
-        keyed, above = [_met_in_blocks(settled)], mixed.where("not settle")
+        keyed, above = [_met_in_blocks(settled)], mixed.where("not settle").join(sets, "rep")
 
 
-def _with_sizes(rows: DataFrame, trees: Sequence[int]) -> DataFrame:
+def _with_sizes(rows: DataFrame) -> DataFrame:
     """The nodes of several classes, with their number of ``members`` and a ``center`` among them.
 
     A node whose sets have all met in one settled node is left out as well.
     """
-    center = F.min_by("rep", F.xxhash64("rep", F.lit(trees[0]))).alias("center")
+    center = F.min_by("rep", F.xxhash64("rep")).alias("center")
     sizes = rows.groupBy("node").agg(F.count("*").alias("members"), center, *_extremes()).where(OPEN)
     return rows.join(sizes.select("node", "members", "center"), "node")
 
@@ -278,7 +274,7 @@ def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     return pairs.select(F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"), "blocks").alias("key"), "rep", "class", "met")
 
 
-def _with_blocks(rows: DataFrame, sets: DataFrame, trees: Sequence[int], level: int, options: PathOptions) -> DataFrame:
+def _with_blocks(rows: DataFrame, sets: DataFrame, level: int, options: PathOptions) -> DataFrame:
     """Sets of large nodes that are open yet, after their pieces were compared.
 
     ``settle`` says whether the node is to be compared in blocks; sets ``outside``
@@ -290,33 +286,29 @@ def _with_blocks(rows: DataFrame, sets: DataFrame, trees: Sequence[int], level:
     at_center = F.col("rep") == F.col("center")
     mains = [F.max(F.when(at_center, F.col(c))).alias(f"main_{c}") for c in ("class", "met")]
     others = [F.count_if(F.col(c) != F.col(f"main_{c}")).alias(f"other_{c}") for c in ("class", "met")]
-    state = rows.groupBy("node").agg(F.max("members").alias("members"), *mains, *_extremes()).where(OPEN)
-    state = state.select("node", "members", "main_class", "main_met")
-    mixed = rows.drop("members").join(state, "node").join(sets.select("rep", "tokens"), "rep")
-    counts = mixed.groupBy("node").agg(*others)
-    branches = mixed.select("node", F.explode(options.branches(trees, min(level, options.levels - 1))).alias("branch"))
+    state = rows.groupBy("node").agg(*mains, *_extremes()).where(OPEN).select("node", "main_class", "main_met")
+    mixed = saved(rows.join(state, "node"))
+    branches = mixed.join(sets, "rep").select("node", F.explode(options.branches(min(level, options.levels - 1))).alias("branch"))
     largest = branches.groupBy("node", "branch").count().groupBy("node").agg(F.max("count").alias("branch"))
-    half = options.leaf // 2
-    by_class = F.col("other_class") <= F.col("other_met")
+    last = F.lit(level == options.levels)
     outsiders = F.least("other_class", "other_met")
-    insiders = F.col("members") - outsiders
-    settle = (outsiders <= half) | (F.col("branch") * options.paths > F.col("members")) | F.lit(level == options.levels)
-    nodes = counts.join(largest, "node").join(state, "node")
-    nodes = nodes.select(
-        "node",
-        "main_class",
-        "main_met",
-        "members",
-        by_class.alias("by_class"),
-        settle.alias("settle"),
-        ((outsiders <= half) | F.lit(level == options.levels)).alias("now"),
-        F.ceil(outsiders / half).alias("outer"),
-        F.ceil(insiders / half).alias("inner"),
-    )
-    first = nodes.where("settle").groupBy("main_class").agg(F.max_by("node", F.struct("members", "node")).alias("first"))
-    nodes = nodes.join(first, "main_class", "left").select(
-        "node", "by_class", "settle", "outer", "inner", (F.col("now") | (F.col("node") == F.col("first"))).alias("first")
+    settle = (outsiders <= options.leaf) | (F.col("branch") * options.paths > F.col("members")) | last
+    nodes = mixed.groupBy("node", "main_class", "members").agg(*others).join(largest, "node")
+    nodes = saved(
+        nodes.select(
+            "node",
+            "main_class",
+            "members",
+            (F.col("other_class") <= F.col("other_met")).alias("by_class"),
+            settle.alias("settle"),
+            ((outsiders <= options.leaf) | last).alias("now"),
+            F.ceil(outsiders / options.leaf).alias("outer"),
+            F.ceil((F.col("members") - outsiders) / options.leaf).alias("inner"),
+        )
     )
+    largest = nodes.where("settle").groupBy("main_class").agg(F.max_by("node", F.struct("members", "node")).alias("largest"))
+    first = (F.col("now") | (F.col("node") == F.col("largest"))).alias("first")
+    nodes = nodes.join(largest, "main_class", "left").select("node", "by_class", "settle", "outer", "inner", first)
     outside = F.when(F.col("by_class"), F.col("class") != F.col("main_class")).otherwise(F.col("met") != F.col("main_met"))
     return saved(mixed.join(nodes, "node").withColumn("outside", outside).drop("main_class", "main_met"))
 
@@ -389,8 +381,9 @@ def plausible_labels(tokens: np.ndarray, classes: np.ndarray, met: np.ndarray, n
         agree = np.zeros((len(tokens), len(tokens)), np.int16)
         for column in tokens.T:
             agree += column[:, None] == column[None]
-    low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-    open_ = (agree >= options.agreeing * options.hashes) & (100 * low >= options.percent * high)
+    open_ = agree >= options.agreeing * options.hashes
+    open_ &= 100 * n[:, None] >= options.percent * n[None]
+    open_ &= 100 * n[None] >= options.percent * n[:, None]
     open_ &= (classes[:, None] != classes[None]) & (met[:, None] != met[None])
     label = np.arange(len(tokens))
     a, b = np.nonzero(open_)
@@ -403,7 +396,7 @@ def plausible_labels(tokens: np.ndarray, classes: np.ndarray, met: np.ndarray, n
 def _confirmed(groups: DataFrame, count: int, texts: DataFrame, options: PathOptions) -> DataFrame:
     """Links (a, b) that join what is linked within the groups of ``count`` rows, on full sets."""
     wanted = groups.select(F.col("rep").alias("id")).distinct()
-    found = keep_keys(texts, wanted, "id", count).withColumn("copy", F.xxhash64("text")).dropDuplicates(["id", "copy"])
+    found = keep_keys(texts, wanted, "id", count, few=0).withColumn("copy", F.xxhash64("text")).dropDuplicates(["id", "copy"])
     encoded = found.select(F.col("id").alias("rep"), "text").mapInArrow(_encoder(options), "rep long, shingles binary")
     weights = groups.groupBy("group").agg(F.sum("n").alias("weight"))
     blocks = F.when(F.col("weight") > options.leaf_shingles, F.ceil(2 * F.col("weight") / options.leaf_shingles)).otherwise(1)

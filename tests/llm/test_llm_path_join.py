@@ -75,7 +75,7 @@ def test_recall_sets_the_number_of_trees():
     assert 0.99 < options.tree_recall < 0.995 and options.trees == 3
     assert PathOptions(recall=0.9).trees == 1
     with pytest.raises(ValueError):
-        PathOptions(hashes=12).branches([0], 1)
+        PathOptions(hashes=12).branches(1)
 
 
 def test_tokens_agree_as_often_as_sets_are_similar():
