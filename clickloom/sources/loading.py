@@ -18,6 +18,7 @@ from clickloom.sources.tables import (
     drop_partitions,
     overwrite_partitions,
     replaced_by,
+    spread,
     table_partitions,
     with_event_day,
     write_partitioned,
@@ -88,9 +89,17 @@ def normalize_into(
     spark = source.sparkSession
     events = with_event_day(normalize_events(source, cutover, row_limit), day_from)
     write_partitioned(events, table, ["event_day", "event_name"], replace)
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('day_from' = '{day_from}')")
     return spark.table(table).count()
 
 
+def append_normalized(source: DataFrame, table: str, cutover: datetime | None = None) -> None:
+    """Further nested events into a table that ``normalize_into`` made; ``refresh_files`` finds them."""
+    spark = source.sparkSession
+    events = with_event_day(normalize_events(source, cutover), day_source(spark, table))
+    spread(events.select(*spark.table(table).columns), ["event_day", "event_name"]).write.mode("append").insertInto(table)
+
+
 def load_events(
     spark: SparkSession,
     source: DataFrame | str,

@@ -71,6 +71,22 @@ class Zones:
     def batches(self) -> str:
         return f"{self.manifest}.batches"
 
+    @property
+    def event_index(self) -> str:
+        return f"{self.manifest}.event_index"
+
+    @property
+    def files(self) -> str:
+        return f"{self.manifest}.files"
+
+    @property
+    def file_events(self) -> str:
+        return f"{self.manifest}.file_events"
+
+    @property
+    def file_runs(self) -> str:
+        return f"{self.manifest}.file_runs"
+
 
 def replaced_by(events_table: str) -> str:
     """The table that notes what reloaded batches held before."""

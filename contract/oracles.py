@@ -286,6 +286,12 @@ ORACLES: dict[str, str] = {
             max(CASE WHEN event_name = 'view' THEN 'batch_0'
                 WHEN event_name IN ('click', 'error') THEN 'batch_1' ELSE 'batch_2' END) AS last_batch
         FROM ev GROUP BY domain_sessionid""",
+    "normalized_refresh": SESSIONS,
+    "refresh_indexed": """
+        SELECT CASE WHEN event_type = 'view' THEN 'batch_0' WHEN event_type IN ('click', 'error') THEN 'batch_1'
+                ELSE 'batch_2' END AS batch_id,
+            CAST(ts AS DATE) AS event_day, count(DISTINCT event_id) AS ids, count(DISTINCT event_id) AS found
+        FROM events GROUP BY 1, 2""",
     "sessions_reloaded": SESSIONS.replace(EV, RELOADED),
     "users_reloaded": USERS.replace(EV, RELOADED),
     "page_views_reloaded": PAGE_VIEWS.replace(EV, RELOADED),

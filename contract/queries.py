@@ -20,14 +20,16 @@ from clickloom.operators.merge import before_image, keyed_rows, merge_update
 from clickloom.operators.repair import repair_contexts, repair_counts, repair_files, repaired
 from clickloom.operators.verify import source_metrics, verify, verify_count
 from clickloom.plans import models
+from clickloom.plans.event_index import id_hash, possible_places
+from clickloom.plans.file_refresh import refresh_files
 from clickloom.plans.probe import merge_probe
 from clickloom.plans.refresh import refresh
 from clickloom.schema import CONTEXT_COLUMNS, EVENT_DAY, EVENT_PARTITIONS, IAB, UA, WEB_PAGE, WEB_VITALS
 from clickloom.session import Scratch, shared_dir
 from clickloom.sources.batches import read_header, read_manifest, write_batches, write_manifest
-from clickloom.sources.loading import load_events, normalize_events, normalize_into, since, to_contract
+from clickloom.sources.loading import append_normalized, load_events, normalize_events, normalize_into, since, to_contract
 from clickloom.sources.seeds import read_seed
-from clickloom.sources.tables import Zones, contract_events, create_zones, preview, reset_zones
+from clickloom.sources.tables import Zones, contract_events, create_zones, drop_partitions, preview, reset_zones, table_partitions
 from clickloom.streaming.refresh import start_refresh, stream_files
 from contract.adapter import OPTIONS, as_events, events, read_table
 
@@ -184,6 +186,41 @@ def page_views_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(reloaded(spark, sf_dir).page_views)
 
 
+def normalized_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from the normalised table, refreshed by its files.
+
+    At first purchases lie three hours early in sessions of their own. Then their
+    partitions are dropped, and all events that are missing are added.
+    """
+    zones = new_zones(spark)
+    rows = as_events(read_table(spark, sf_dir, "events"))
+    purchases = rows.where(F.col("event_name") == "purchase")
+    early = purchases.withColumns(
+        {
+            "domain_sessionid": F.concat(F.lit("x_"), "domain_sessionid"),
+            **{c: F.col(c) - F.expr("INTERVAL 3 HOURS") for c in ("collector_tstamp", "derived_tstamp", "load_tstamp")},
+        }
+    )
+    normalize_into(rows.where(F.col("event_name") == "view").unionByName(early), zones.events)
+    refresh_files(spark, zones, OPTIONS)
+    held = table_partitions(spark, zones.events, [EVENT_DAY, "event_name"]).where(F.col("event_name") == "purchase")
+    drop_partitions(spark, zones.events, [EVENT_DAY, "event_name"], held.collect())
+    append_normalized(rows.where(F.col("event_name") != "view"), zones.events)
+    refresh_files(spark, zones, OPTIONS)
+    return spark.table(zones.sessions)
+
+
+def refresh_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per batch and day, event ids and how many of them the index of event ids finds there."""
+    zones = refreshed(spark, sf_dir)
+    ids = spark.table(zones.events).select("event_id", EVENT_DAY, "batch_id", id_hash(F.col("event_id")).alias("hash"))
+    places = possible_places(spark.table(zones.event_index), ids, ids.count()).withColumnRenamed("source", "batch_id")
+    there = ids.join(places.withColumn("found", F.lit(1)).distinct(), ["hash", EVENT_DAY, "batch_id"], "left")
+    return there.groupBy("batch_id", EVENT_DAY).agg(
+        F.count_distinct("event_id").alias("ids"), F.count_distinct(F.when(F.col("found") == 1, F.col("event_id"))).alias("found")
+    )
+
+
 def start_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = models.ModelOptions("view", start_date=datetime(2024, 1, 20))
     return models.sessions(models.session_rollup(models.activity_of(events(spark, sf_dir), options))).select(
@@ -685,6 +722,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_state": refresh_state,
     "streamed_sessions": streamed_sessions,
     "start_date": start_date,
+    "normalized_refresh": normalized_refresh,
+    "refresh_indexed": refresh_indexed,
     "sessions_reloaded": sessions_reloaded,
     "users_reloaded": users_reloaded,
     "page_views_reloaded": page_views_reloaded,

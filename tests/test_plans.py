@@ -69,7 +69,7 @@ def test_models_read_only_their_columns_and_stay_in_the_jvm(events):
 def test_the_search_for_copies_reads_two_columns(events):
     batch = models.model_events(events.where(F.col(BATCH_ID) == "two"))
     others = models.model_events(events)
-    text = read_schema(plan(_sessions_with_copies(others, batch, "two")))
+    text = read_schema(plan(_sessions_with_copies(others, batch)))
     assert "page_url" not in text and "contexts" not in text
 
 
