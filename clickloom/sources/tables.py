@@ -257,8 +257,12 @@ def _one_of(column: str, values: list) -> Column:
 
 def drop_partitions(spark: SparkSession, table: str, partition_by: list[str], values: Iterable[Row]) -> None:
     for row in values:
-        spec = ", ".join(f"{c} = {_literal(row[c])}" for c in partition_by)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition_spec(row, partition_by)})")
+
+
+def partition_spec(row: Row, partition_by: list[str]) -> str:
+    """A partition as SQL names it."""
+    return ", ".join(f"{c} = {_literal(row[c])}" for c in partition_by)
 
 
 def _literal(value) -> str:

@@ -493,6 +493,15 @@ ORACLES: dict[str, str] = {
         SELECT event_id, collector_tstamp, event_name,
             CASE WHEN latest_id IS NOT NULL THEN 'last of user' END AS etl_tags
         FROM ev LEFT JOIN latest ON event_id = latest_id""",
+    "merge_undone": f"""
+        WITH {EV}, {LATEST}
+        SELECT event_id, collector_tstamp, event_name,
+            CASE WHEN latest_id IS NOT NULL THEN 'last of user' END AS etl_tags, tr_total
+        FROM ev LEFT JOIN latest ON event_id = latest_id""",
+    "merge_fingerprint": f"""
+        WITH {EV}, {LATEST}
+        SELECT CAST(collector_tstamp AS DATE) AS event_day, event_name, count(*) AS rows_old, count(*) AS rows_new, true AS same
+        FROM ev LEFT JOIN latest ON event_id = latest_id WHERE latest_id IS NULL GROUP BY 1, 2""",
     "merge_before_image": f"""
         WITH {EV}, {LATEST}
         SELECT event_id, collector_tstamp, event_name, CAST(NULL AS VARCHAR) AS etl_tags, tr_total

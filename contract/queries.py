@@ -16,8 +16,10 @@ from clickloom.operators import audit, clone
 from clickloom.operators.dedup import dedup_events
 from clickloom.operators.enrich import enrich
 from clickloom.operators.filters import in_list, in_partition, on_day
+from clickloom.operators.fingerprint import compare_fingerprints, fingerprints, untouched
 from clickloom.operators.merge import before_image, keyed_rows, merge_update
 from clickloom.operators.repair import repair_contexts, repair_counts, repair_files, repaired
+from clickloom.operators.staged_merge import staged_merge, undo_merge
 from clickloom.operators.verify import source_metrics, verify, verify_count
 from clickloom.plans import models
 from clickloom.plans.event_index import id_hash, possible_places
@@ -660,6 +662,30 @@ def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(table).select(*MERGE_KEY, "etl_tags")
 
 
+def merge_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two merges in stages, the second one taken back."""
+    zones = loaded(spark, sf_dir)
+    log, rows = f"{zones.manifest}.merges", events(spark, sf_dir)
+    day = {EVENT_DAY: F.to_date("collector_tstamp")}
+    staged_merge(spark, zones.events, latest_of_users(rows), MERGE_KEY, {"etl_tags": F.lit("last of user")}, EVENT_PARTITIONS, log, day)
+    wrong = {"etl_tags": F.lit("wrong"), "tr_total": F.lit(-1)}
+    second = staged_merge(spark, zones.events, rows.select(*MERGE_KEY), MERGE_KEY, wrong, EVENT_PARTITIONS, log, day)
+    undo_merge(spark, zones.events, second, log)
+    return spark.table(zones.events).select(*MERGE_KEY, "etl_tags", "tr_total")
+
+
+def merge_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per partition, the rows that a merge had to leave alone, before and after it."""
+    table, scratch = loaded(spark, sf_dir).events, Scratch(spark)
+    source = scratch.save(latest_of_users(events(spark, sf_dir)), "source")
+    rows = spark.table(table)
+    before = scratch.save(fingerprints(untouched(rows, source, MERGE_KEY), EVENT_PARTITIONS), "before")
+    changes = {"etl_tags": F.lit("last of user")}
+    merge_update(spark, table, source, MERGE_KEY, changes, EVENT_PARTITIONS, {EVENT_DAY: F.to_date("collector_tstamp")})
+    after = fingerprints(untouched(spark.table(table), source, MERGE_KEY), EVENT_PARTITIONS)
+    return compare_fingerprints(before, after, EVENT_PARTITIONS).drop("batch_id")
+
+
 def literal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge from rows that are written out: the twenty events worth most."""
     table = loaded(spark, sf_dir).events
@@ -724,6 +750,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "start_date": start_date,
     "normalized_refresh": normalized_refresh,
     "refresh_indexed": refresh_indexed,
+    "merge_undone": merge_undone,
+    "merge_fingerprint": merge_fingerprint,
     "sessions_reloaded": sessions_reloaded,
     "users_reloaded": users_reloaded,
     "page_views_reloaded": page_views_reloaded,
