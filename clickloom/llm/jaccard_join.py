@@ -440,9 +440,10 @@ def _join_blocks(members: DataFrame, options: JoinOptions) -> DataFrame:
 def keep_representatives(docs: DataFrame, options: JoinOptions = JoinOptions(), id_column: str = "doc_id") -> DataFrame:
     """``docs`` without all but the smallest id of each class; repeated rows stay once.
 
-    Documents with a null id or without words are in no class and stay.
+    Documents with a null id or without words are in no class and stay; of rows with a
+    null id all stay, also those of equal text.
     """
     classes = jaccard_components(docs, options, id_column)
     dropped = classes.where(F.col("component_id") != F.col(id_column)).select(id_column).distinct()
-    copy = F.xxhash64(F.col("text").cast("string"))
+    copy = F.struct(F.xxhash64(F.col("text").cast("string")), F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
     return docs.join(dropped, id_column, "left_anti").withColumn("_copy", copy).dropDuplicates([id_column, "_copy"]).select(*docs.columns)

@@ -88,6 +88,8 @@ def test_empty_table_null_ids_and_other_columns(make_docs):
     assert sorted(map(tuple, jaccard_components(clashing).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None)]
     kept = keep_representatives(clashing)
     assert kept.columns == clashing.columns
+    nulls = make_docs([(None, "a b"), (None, "a b"), (None, None), (None, None), (4, "c d"), (4, "c d")])
+    assert keep_representatives(nulls).count() == 5
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, None]
 
 
