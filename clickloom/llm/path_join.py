@@ -54,7 +54,7 @@ class PathOptions:
     shingles of full sets in one task; more are compared in blocks. ``levels``: depth
     after which large nodes are compared in blocks. ``agreeing``: share of the tokens
     in which a pair has to agree for its full sets to be compared; at the threshold
-    all but one pair in 30 million do at a half of 64.
+    all but one pair in 50 million do at a half of 64.
     """
 
     shingle: int = 4
