@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,8 @@ def build(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOption
         write_partitioned(with_last_seen_day(users(sessions(state))), zones.users, [LAST_SEEN_DAY])
         indexed = index_page_views(activity, scratch, options)
         write_partitioned(place_activity(indexed, state), zones.page_activity, [SESSION_DAY])
-        publish(spark, zones)
+        publish(spark, zones, options)
+        note_contexts(spark, zones, options)
         log_batches(zones, batches)
         spark.sql(f"DROP TABLE IF EXISTS {zones.replaced}")
 
@@ -80,14 +83,35 @@ def log_batches(zones: Zones, batch_ids: DataFrame) -> None:
     rows.coalesce(1).write.format("parquet").mode("append").saveAsTable(zones.batches)
 
 
-def publish(spark: SparkSession, zones: Zones) -> None:
+def publish(spark: SparkSession, zones: Zones, options: ModelOptions = ModelOptions()) -> None:
     """Page views and sessions are views on the state tables, which hold each
     row once; filters and column pruning reach the files through them."""
     spark.sql(
         f"CREATE OR REPLACE VIEW {zones.page_views} AS "
-        f"SELECT {', '.join(PAGE_VIEW_COLUMNS)} FROM {zones.page_activity} WHERE {HAS_PAGE_VIEW}"
+        f"SELECT {', '.join(PAGE_VIEW_COLUMNS + options.context_columns())} FROM {zones.page_activity} WHERE {HAS_PAGE_VIEW}"
     )
     spark.sql(
         f"CREATE OR REPLACE VIEW {zones.sessions} AS "
-        f"SELECT {', '.join(SESSION_COLUMNS)} FROM {zones.session_state}"
+        f"SELECT {', '.join(SESSION_COLUMNS + options.context_columns())} FROM {zones.session_state}"
     )
+
+
+#: The property of the session state that names the contexts its tables hold.
+CONTEXTS_NOTED = "contexts"
+
+
+def context_note(options: ModelOptions) -> str:
+    """State columns that are kept up to date, and a digest of what the views show."""
+    if not options.contexts:
+        return ""
+    shown = hashlib.sha256(repr(options.context_columns()).encode()).hexdigest()[:12]
+    return ",".join([c.state for c in options.active_contexts]) + ";" + shown
+
+
+def note_contexts(spark: SparkSession, zones: Zones, options: ModelOptions) -> None:
+    spark.sql(f"ALTER TABLE {zones.session_state} SET TBLPROPERTIES ('{CONTEXTS_NOTED}' = '{context_note(options)}')")
+
+
+def noted_contexts(spark: SparkSession, zones: Zones) -> str:
+    found = spark.sql(f"SHOW TBLPROPERTIES {zones.session_state}").where(F.col("key") == CONTEXTS_NOTED).first()
+    return found["value"] if found else ""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.filters import in_list
 from clickloom.plans.build import build, is_built
+from clickloom.plans.context_state import align_contexts
 from clickloom.plans.event_index import SOURCE, index_sources
 from clickloom.plans.models import SESSION, ModelOptions, model_events
 from clickloom.plans.refresh import Delta, refresh_delta
@@ -73,6 +74,8 @@ def refresh_files(spark: SparkSession, zones: Zones, options: ModelOptions = Mod
         added, removed = new.count(), old.count()
         begun = spark.table(zones.files).join(spark.table(zones.file_runs), RUN, "left_anti")
         interrupted = not begun.isEmpty()
+        others = model_events(_without(events, new), options)
+        align_contexts(spark, zones, others, options)
         if not added and not removed and not interrupted:
             return {"added": 0, "removed": 0}
         gone = _events_of(spark, zones, old)
@@ -84,7 +87,6 @@ def refresh_files(spark: SparkSession, zones: Zones, options: ModelOptions = Mod
         rows = _rows_of(events, new)
         _note_events(spark, zones, rows, run)
         batch = scratch.save(model_events(rows, options), "batch")
-        others = model_events(_without(events, new), options)
         refresh_delta(spark, zones, Delta(model_events(events, options), batch, others, gone, interrupted), options, scratch)
         _end(spark, zones, run)
     return {"added": added, "removed": removed}

@@ -29,10 +29,12 @@ from clickloom.plans.build import (
     with_last_seen_day,
     with_session_day,
 )
+from clickloom.plans.context_state import align_contexts, fit
 from clickloom.plans.event_index import SOURCE, create_index, day_rows, index_sources, indexed_sources, possible_days
 from clickloom.plans.models import (
     SESSION,
     ModelOptions,
+    as_activity,
     index_page_views,
     merge_activity,
     model_events,
@@ -66,6 +68,7 @@ def refresh(spark: SparkSession, zones: Zones, batch_id: str, options: ModelOpti
     with Scratch(spark) as scratch:
         batch = scratch.save(events.where(F.col(BATCH_ID) == batch_id), "batch")
         _index_batches(spark, zones, every, {r[BATCH_ID] for r in logged.distinct().collect()}, batch_id)
+        align_contexts(spark, zones, events, options)
         gone = replaced_rows(spark, zones.events, batch_id)
         delta = Delta(events, batch, events.where(F.col(BATCH_ID) != batch_id), gone, seen_before)
         refresh_delta(spark, zones, delta, options, scratch)
@@ -122,7 +125,7 @@ def refresh_delta(spark: SparkSession, zones: Zones, delta: Delta, options: Mode
     old_days = old_state.select(SESSION_DAY).distinct().collect()
     old_activity = spark.table(zones.page_activity).where(partition_filter([SESSION_DAY], old_days))
     old_activity = keep_keys(old_activity, old_state.select(SESSION), SESSION, old_state.count())
-    old_activity = old_activity.drop(SESSION_DAY, "page_view_in_session_index")
+    old_activity = old_activity.select(*as_activity(batch, options).columns)
     added = dedup_events(batch)
     if dirty.isEmpty():
         fresh = merge_activity(old_activity, added, options)
@@ -138,10 +141,11 @@ def refresh_delta(spark: SparkSession, zones: Zones, delta: Delta, options: Mode
 
     state = scratch.save(with_session_day(session_rollup(fresh)), "state")
     new_days = state.select(SESSION_DAY).distinct().collect()
-    placed = place_activity(index_page_views(fresh, scratch, options), state)
+    placed = fit(place_activity(index_page_views(fresh, scratch, options), state), spark.table(zones.page_activity))
     replace_rows(zones.page_activity, [SESSION_DAY], placed, affected, SESSION, old_days, new_days)
     _refresh_users(spark, zones, affected, old_state, state, scratch)
     # Last, because an interrupted refresh finds what it has to replace from here.
+    state = fit(state, spark.table(zones.session_state))
     replace_rows(zones.session_state, [SESSION_DAY], state, affected, SESSION, old_days, new_days)
 
 
@@ -203,7 +207,7 @@ def _refresh_users(
         _keys(old_state.select(user).unionByName(state.select(user)), "domain_userid"), "users"
     )
     others = spark.table(zones.session_state).join(affected, SESSION, "left_anti")
-    rows = keep_keys(sessions(others.unionByName(state)), changed, "domain_userid", changed.count())
+    rows = keep_keys(sessions(others).unionByName(sessions(state)), changed, "domain_userid", changed.count())
     fresh = scratch.save(with_last_seen_day(users(rows)), "user_rows")
     stored = spark.table(zones.users).select("domain_userid", LAST_SEEN_DAY)
     old_days = stored.join(changed, "domain_userid", "left_semi").select(LAST_SEEN_DAY).distinct().collect()
