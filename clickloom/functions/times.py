@@ -47,6 +47,12 @@ def text_to_ntz(text: Column) -> Column:
     return F.when(text.rlike(_ZONE_AFTER_TIME), zoned).otherwise(text.cast("timestamp_ntz"))
 
 
+def text_to_ntz_or_null(text: Column) -> Column:
+    """The same, NULL for text that is no time."""
+    zoned = strip_zone(text.try_cast("timestamp"))
+    return F.when(text.rlike(_ZONE_AFTER_TIME), zoned).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def timestamp_text(moment: Column) -> Column:
     """Text with six fractional digits, the form event files use."""
     return F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS")

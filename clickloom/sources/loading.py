@@ -32,18 +32,23 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def to_contract(df: DataFrame) -> DataFrame:
+def fields_by_name(df: DataFrame) -> dict[str, T.StructField]:
+    """Fields by lower-case name; two whose names differ only in case are an error."""
+    repeated = [name for name, n in Counter(c.lower() for c in df.columns).items() if n > 1]
+    if repeated:
+        raise ValueError(f"column names differ only in case: {sorted(repeated)}")
+    return {f.name.lower(): f for f in df.schema}
+
+
+def to_contract(df: DataFrame, *also: str) -> DataFrame:
     """The contract's columns in its order, matched by name without regard to case.
 
     Values are cast to the declared type, missing columns become typed NULLs,
-    further columns are dropped. Two columns whose names differ only in case
-    are an error.
+    further columns are dropped, but for those named in ``also``. Two columns
+    whose names differ only in case are an error.
     """
-    repeated = [name for name, n in Counter(c.lower() for c in df.columns).items() if n > 1]
-    if repeated:
-        raise ValueError(f"column names differ only in case: {sorted(repeated)}")
-    source = {f.name.lower(): f for f in df.schema}
-    return df.select(*[_contract_column(df, source.get(f.name), f).alias(f.name) for f in EVENTS_SCHEMA])
+    source = fields_by_name(df)
+    return df.select(*[_contract_column(df, source.get(f.name), f).alias(f.name) for f in EVENTS_SCHEMA], *also)
 
 
 def _contract_column(df: DataFrame, source: T.StructField | None, field: T.StructField) -> Column:

@@ -87,6 +87,14 @@ class Zones:
     def file_runs(self) -> str:
         return f"{self.manifest}.file_runs"
 
+    @property
+    def run_steps(self) -> str:
+        return f"{self.manifest}.run_steps"
+
+    @property
+    def rejects(self) -> str:
+        return f"{self.raw}.{self.events_table}_rejects"
+
 
 def replaced_by(events_table: str) -> str:
     """The table that notes what reloaded batches held before."""
@@ -106,6 +114,7 @@ def reset_zones(
     """Drop the events table and every derived thing, then start empty."""
     spark.sql(f"DROP TABLE IF EXISTS {zones.events}")
     spark.sql(f"DROP TABLE IF EXISTS {zones.replaced}")
+    spark.sql(f"DROP TABLE IF EXISTS {zones.rejects}")
     for schema in (zones.scratch, zones.derived, zones.manifest):
         spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
     create_zones(spark, zones, location)

@@ -83,6 +83,18 @@ SESSION_ROWS = f"""
 SESSIONS_CTE = f"WITH {EV}, {RANKED.format(key='domain_sessionid')}, {SESSION_ROWS}"
 SESSIONS = f"{SESSIONS_CTE} SELECT * FROM session_rows"
 
+SESSIONS_WITH_CONTEXTS = f"""
+{SESSIONS_CTE},
+    valued AS (
+        SELECT CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y%m%d') AS session, {K} AS ua_k,
+            row_number() OVER (
+                PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, CAST(event_id AS VARCHAR)) AS place
+        FROM events WHERE {K} % 2 = 0
+    )
+SELECT s.*, v.ua_k, CAST(NULL AS INTEGER) AS iab_k, CAST(NULL AS DOUBLE) AS lcp
+FROM session_rows s LEFT JOIN valued v ON v.session = s.domain_sessionid AND v.place = 1
+"""
+
 USERS = f"""
 {SESSIONS_CTE}
 SELECT domain_userid,
@@ -276,6 +288,7 @@ ORACLES: dict[str, str] = {
     "users": USERS,
     "page_views_incremental": PAGE_VIEWS,
     "sessions_incremental": SESSIONS,
+    "sessions_with_contexts": SESSIONS_WITH_CONTEXTS,
     "users_incremental": USERS,
     "streamed_sessions": SESSIONS,
     "refresh_state": f"""
@@ -297,6 +310,21 @@ ORACLES: dict[str, str] = {
     "page_views_reloaded": PAGE_VIEWS.replace(EV, RELOADED),
     "replace_load": """
         SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS event_name FROM events WHERE event_type = 'click'""",
+    "run_steps": """
+        SELECT CAST(step AS INTEGER) AS step, phase, batches, count(*) AS row_count,
+            min(ts) AS min_collector_tstamp, max(ts) AS max_collector_tstamp
+        FROM (VALUES (0, 'initial', 'batch_0', ['view']), (1, 'incremental', 'batch_1', ['view', 'click', 'error']),
+            (2, 'incremental', 'batch_2', ['view', 'click', 'error', 'purchase', 'signup'])) s(step, phase, batches, names)
+            JOIN events ON list_contains(names, event_type)
+        GROUP BY step, phase, batches""",
+    "load_rejects": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, 'tr_total' AS column_name, 'n/a' AS text, 'all' AS batch_id
+        FROM events WHERE event_id % 7 = 0
+        UNION ALL
+        SELECT CAST(event_id AS VARCHAR), 'load_tstamp', 'soon', 'all' FROM events WHERE event_id % 5 = 0""",
+    "load_kept": f"""
+        WITH {EV} SELECT event_id, load_tstamp, tr_total, page_url FROM ev
+        WHERE CAST(event_id AS BIGINT) % 7 <> 0 AND CAST(event_id AS BIGINT) % 5 <> 0""",
     "row_limit_load": "SELECT least(100, count(*)) AS rows FROM events",
     "reset_zones": "SELECT count(*) AS rows FROM events WHERE event_type = 'view'",
     "rewritten_files": f"WITH {BROKEN} SELECT event_id, context FROM broken",

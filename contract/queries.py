@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,14 @@ from clickloom.operators.verify import source_metrics, verify, verify_count
 from clickloom.plans import models
 from clickloom.plans.event_index import id_hash, possible_places
 from clickloom.plans.file_refresh import refresh_files
+from clickloom.plans.incremental import run_incremental
 from clickloom.plans.probe import merge_probe
 from clickloom.plans.refresh import refresh
 from clickloom.schema import CONTEXT_COLUMNS, EVENT_DAY, EVENT_PARTITIONS, IAB, UA, WEB_PAGE, WEB_VITALS
 from clickloom.session import Scratch, shared_dir
 from clickloom.sources.batches import read_header, read_manifest, write_batches, write_manifest
 from clickloom.sources.loading import append_normalized, load_events, normalize_events, normalize_into, since, to_contract
+from clickloom.sources.quarantine import load_or_reject
 from clickloom.sources.seeds import read_seed
 from clickloom.sources.tables import Zones, contract_events, create_zones, drop_partitions, preview, reset_zones, table_partitions
 from clickloom.streaming.refresh import start_refresh, stream_files
@@ -223,6 +226,32 @@ def refresh_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sessions_with_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: a context that is switched on after the first, another on for the second alone.
+
+    Events of even ``k`` have both contexts, so the first event of a session may have none.
+    """
+    zones = new_zones(spark)
+    raw_events = read_table(spark, sf_dir, "events")
+    rows = as_events(raw_events).join(
+        raw_events.where(k_of() % 2 == 0).select(
+            F.col("event_id").cast("string").alias("event_id"),
+            *[F.concat(F.lit("["), "props", F.lit("]")).alias(c) for c in (UA, IAB)],
+        ),
+        "event_id",
+        "left",
+    )
+    for number, (names, ua, iab) in enumerate(zip(BATCHES, (False, True, True), (False, True, False))):
+        contexts = (
+            models.ModelContext(UA, (("ua_k", "$[0].k", "int"),), ua),
+            models.ModelContext(IAB, (("iab_k", "$[0].k", "int"),), iab),
+            models.ModelContext(WEB_VITALS, (("lcp", "$.lcp", "double"),), True),
+        )
+        load_events(spark, rows.where(F.col("event_name").isin(names)), zones.events, f"batch_{number}")
+        refresh(spark, zones, f"batch_{number}", replace(OPTIONS, contexts=contexts))
+    return spark.table(zones.sessions)
+
+
 def start_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = models.ModelOptions("view", start_date=datetime(2024, 1, 20))
     return models.sessions(models.session_rollup(models.activity_of(events(spark, sf_dir), options))).select(
@@ -329,6 +358,40 @@ NORMALIZED = [
 ]
 
 
+def quarantined(spark: SparkSession, sf_dir: str) -> Zones:
+    """Every seventh amount and every fifth time is text that cannot be read."""
+    zones = new_zones(spark)
+    rows = as_events(read_table(spark, sf_dir, "events"))
+    number = F.col("event_id").cast("bigint")
+    amount = F.when(number % 7 == 0, "n/a").otherwise(F.col("tr_total").cast("string"))
+    moment = F.when(number % 5 == 0, "soon").otherwise(F.col("load_tstamp").cast("string"))
+    load_or_reject(spark, rows.withColumns({"tr_total": amount, "load_tstamp": moment}), zones, "all")
+    return zones
+
+
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(quarantined(spark, sf_dir).rejects).select("event_id", "column_name", "text", "batch_id")
+
+
+def load_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(quarantined(spark, sf_dir).events).select("event_id", "load_tstamp", "tr_total", "page_url")
+
+
+def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of a run of three batches that ends after two and is resumed."""
+    path, zones = new_path(spark), new_zones(spark)
+    rows = as_events(read_table(spark, sf_dir, "events"))
+    places = [(i, f"batch_{i}", f"{path}/{i}") for i in range(len(BATCHES))]
+    for (_, _, uri), names in zip(places, BATCHES):
+        rows.where(F.col("event_name").isin(names)).write.parquet(uri)
+    manifest = spark.createDataFrame(places, "batch_index INT, name STRING, uri STRING")
+    run_incremental(spark, zones, manifest, limit=2, options=OPTIONS)
+    run_incremental(spark, zones, manifest, options=OPTIONS, resume=True)
+    return spark.table(zones.run_steps).select(
+        "step", "phase", F.array_join("batches", ",").alias("batches"), "row_count", "min_collector_tstamp", "max_collector_tstamp"
+    )
+
+
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(nested_source(spark, sf_dir)).select(*NORMALIZED)
 
@@ -750,6 +813,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "start_date": start_date,
     "normalized_refresh": normalized_refresh,
     "refresh_indexed": refresh_indexed,
+    "run_steps": run_steps,
+    "load_rejects": load_rejects,
+    "load_kept": load_kept,
+    "sessions_with_contexts": sessions_with_contexts,
     "merge_undone": merge_undone,
     "merge_fingerprint": merge_fingerprint,
     "sessions_reloaded": sessions_reloaded,
