@@ -5,12 +5,15 @@ by the vocabulary of the benchmark; a word that no benchmark item has is 0 and
 ends every match. The suffix array orders the positions of benchmark words by
 what follows them, as deep as the longest item, by doubling. Every suffix of
 every benchmark item is then binary-searched in it: the neighbours of its place
-give its longest verbatim match, the range that begins with a whole window gives
-all places of the window.
-
-The benchmark is cut into blocks of at most ``block_words`` words; only one block
-is broadcast at a time and each makes one pass over the documents in the same
-stage, so a benchmark of any size works. Documents are never shuffled.
+give its longest verbatim match. Windows at which such a match is long enough occur
+in the shard; the range that begins with one gives all its places. The text at
+these places is searched in the suffix array of the benchmark, which gives the
+longest match of each document, its item and where it is.
+
+The benchmark is cut into blocks of at most ``block_words`` words. Each is
+broadcast and makes one pass over the documents in the same stage; all blocks are
+broadcast before the first action, so the whole benchmark has to fit on an
+executor. Documents are never shuffled. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from pyspark.sql import functions as F
 from clickloom.llm.storage import bound_batches, set_aside
 from clickloom.llm.text import LETTERS_DIGITS, buffers, find_words, pieces
 
+
+FINDINGS = ("n_words", "spans", "items", "longest")
+
+
 @dataclass(frozen=True)
 class DecontaminationOptions:
     """``window``: words that have to match; an item of fewer, but not none, is one window.
@@ -50,26 +57,43 @@ class Block:
     windows: np.ndarray
     sizes: np.ndarray
     owners: list[list[str]]
+    suffixes: np.ndarray
+    window_of: np.ndarray
+    order: np.ndarray
+
+    @property
+    def depth(self) -> int:
+        """Words of the longest item."""
+        return int(self.left.max(initial=1))
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item and word of positions."""
+        first = np.concatenate([[0], np.flatnonzero(self.words == 0) + 1])
+        return self.item[at], at - first[self.item[at]]
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()
 ) -> DataFrame:
-    """``docs`` with ``n_words``, the ``spans`` of words inside found windows and the ``items`` found.
+    """``docs`` with ``n_words``, the ``spans`` of words inside found windows, the ``items`` found and the ``longest`` match.
 
     A-Z are lower-cased; words are runs of ASCII letters, digits and everything
     beyond ASCII. Spans are disjoint, in order and end exclusive; items are
-    sorted. Null and empty texts have no words; items without words or without
-    id match nothing; a repeated item counts once. Columns of ``docs`` called
-    like a new one are replaced.
+    sorted. ``longest`` (length, word, item, item_word) is the longest verbatim match
+    that begins with a window: its words, where it begins in the document, and
+    an item that has it with the place there; of equal ones the first in the
+    document; NULL without a finding. Null and empty texts have no words; items without words or
+    without id match nothing; a repeated item counts once. Columns of ``docs``
+    called like a new one are replaced.
     """
     bound_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    kept = [c for c in docs.columns if c not in FINDINGS]
     found = docs.select(
         *kept,
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
+        F.lit(None).cast("struct<length:bigint,word:bigint,item:string,item_word:bigint>").alias("longest"),
     )
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark, options):
@@ -101,7 +125,7 @@ def longest_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
     """The documents that hold no window of any item, with their own columns."""
-    hidden, own = set_aside(docs, ("n_words", "spans", "items"))
+    hidden, own = set_aside(docs, FINDINGS)
     return find_contamination(hidden, benchmark, options).where(F.size("items") == 0).select(*own)
 
 
@@ -147,15 +171,21 @@ def _block(names: list[str], hashes: list[np.ndarray], options: DecontaminationO
     # each distinct window is searched once
     keys: dict[bytes, int] = {}
     first, owners = [], []
+    window_of = np.full(len(words), -1)
     for start, size, i in zip(windows, sizes, owner):
-        k = keys.setdefault(words[start : start + size].tobytes(), len(keys))
+        window_of[start] = k = keys.setdefault(words[start : start + size].tobytes(), len(keys))
         if k == len(owners):
             first.append((start, size))
             owners.append([])
         if names[i] not in owners[k]:
             owners[k].append(names[i])
     first = np.array(first, np.int64).reshape(-1, 2)
-    return Block(known, np.arange(1, len(known) + 1), words, flat(item), flat(left), names, first[:, 0], first[:, 1], owners)
+    left = flat(left)
+    suffixes, order = np.flatnonzero(left > 0), suffix_array(words, int(left.max(initial=1)))
+    return Block(
+        known, np.arange(1, len(known) + 1), words, flat(item), left, names, first[:, 0], first[:, 1], owners,
+        suffixes, window_of[suffixes], order,
+    )
 
 
 # --- shards ----------------------------------------------------------------------------------
@@ -200,7 +230,7 @@ def _compare(words: np.ndarray, at: np.ndarray, query: np.ndarray, start: np.nda
     return common, sign
 
 
-def _bound(shard: "Shard", query, start, limit, upper: bool) -> np.ndarray:
+def _bound(shard: "Shard | Block", query, start, limit, upper: bool) -> np.ndarray:
     """Where each query suffix belongs in the suffix array, before or after those it begins."""
     low, high = np.zeros(len(start), np.int64), np.full(len(start), len(shard.order))
     while (open_ := np.flatnonzero(low < high)).size:
@@ -212,6 +242,16 @@ def _bound(shard: "Shard", query, start, limit, upper: bool) -> np.ndarray:
     return low
 
 
+def _nearest(shard: "Shard | Block", query, start, limit) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """On either side of its place in the suffix array, the common words of each query suffix and where they are."""
+    at = _bound(shard, query, start, limit, False)
+    for side in (at - 1, at):
+        inside = (side >= 0) & (side < len(shard.order))
+        text = shard.order[np.clip(side, 0, len(shard.order) - 1)]
+        common, _ = _compare(shard.words, text, query, start, np.where(inside, limit, 0))
+        yield common, text
+
+
 @dataclass
 class Shard:
     """Documents as benchmark word numbers, each followed by a 0, and their suffix array."""
@@ -246,7 +286,7 @@ def _searcher(shared, text_index: int, options: DecontaminationOptions):
         for batch in batches:
             data, offsets = buffers(batch.column(text_index).cast(pa.string()))
             for row, end in pieces(offsets, options.shard_bytes):
-                shard = _shard(data, offsets[row : end + 1], block, int(block.sizes.max(initial=1)))
+                shard = _shard(data, offsets[row : end + 1], block, block.depth)
                 yield _with_findings(batch.slice(row, end - row), shard, block)
 
     return search
@@ -255,18 +295,21 @@ def _searcher(shared, text_index: int, options: DecontaminationOptions):
 def _with_findings(rows: pa.RecordBatch, shard: Shard, block: Block) -> pa.RecordBatch:
     hit = np.zeros(len(shard.words) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    if len(shard.order) and len(block.words):
-        low = _bound(shard, block.words, block.windows, block.sizes, False)
-        high = _bound(shard, block.words, block.windows, block.sizes, True)
+    longest: dict[int, dict] = {}
+    found = _found_windows(shard, block)
+    if len(found):
+        low = _bound(shard, block.words, block.windows[found], block.sizes[found], False)
+        high = _bound(shard, block.words, block.windows[found], block.sizes[found], True)
         times = high - low
-        which = np.repeat(np.arange(len(times)), times)
+        which = np.repeat(found, times)
         places = shard.order[np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
         np.add.at(hit, places, 1)
         np.add.at(hit, places + block.sizes[which], -1)
         doc, _ = shard.place(places)
-        pairs = np.unique(doc * len(times) + which)
-        for d, w in zip((pairs // len(times)).tolist(), (pairs % len(times)).tolist()):
+        pairs = np.unique(doc * len(block.windows) + which)
+        for d, w in zip((pairs // len(block.windows)).tolist(), (pairs % len(block.windows)).tolist()):
             items.setdefault(d, set()).update(block.owners[w])
+        longest = _longest_of_documents(shard, block, np.unique(places))
     inside = (np.cumsum(hit[:-1]) > 0).astype(np.int8)
     edges = np.diff(np.concatenate(([0], inside, [0])))
     doc, starts = shard.place(np.flatnonzero(edges == 1))
@@ -276,35 +319,68 @@ def _with_findings(rows: pa.RecordBatch, shard: Shard, block: Block) -> pa.Recor
         spans.setdefault(d, []).append((s, e))
 
     schema, columns = rows.schema, {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
-    old_spans, old_items = columns["spans"].to_pylist(), columns["items"].to_pylist()
+    old_spans, old_items, old_longest = (columns[c].to_pylist() for c in ("spans", "items", "longest"))
     columns |= {
         "n_words": pa.array(shard.counts, pa.int64()),
         "spans": pa.array([_merged(x, spans.get(d, [])) for d, x in enumerate(old_spans)], schema.field("spans").type),
         "items": pa.array([sorted({*x, *items.get(d, ())}) for d, x in enumerate(old_items)], schema.field("items").type),
+        "longest": pa.array([_longer(x, longest.get(d)) for d, x in enumerate(old_longest)], schema.field("longest").type),
     }
     return pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
 
 
+def _found_windows(shard: Shard, block: Block) -> np.ndarray:
+    """Windows that occur: every suffix is searched, and the match of those that begin with one is as long."""
+    if not len(shard.order) or not len(block.suffixes):
+        return np.zeros(0, np.int64)
+    matched = np.zeros(len(block.suffixes), np.int64)
+    for common, _ in _nearest(shard, block.words, block.suffixes, block.left[block.suffixes]):
+        matched = np.maximum(matched, common)
+    begun = np.flatnonzero(block.window_of >= 0)
+    windows = block.window_of[begun]
+    return np.unique(windows[matched[begun] >= block.sizes[windows]])
+
+
+def _longest_of_documents(shard: Shard, block: Block, places: np.ndarray) -> dict[int, dict]:
+    """The longest match that begins at one of the ``places``, by document."""
+    ends = np.flatnonzero(shard.words == 0)
+    limit = np.minimum(ends[np.searchsorted(ends, places)] - places, block.depth)
+    length, where = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for common, text in _nearest(block, shard.words, places, limit):
+        better = common > length
+        length, where = np.where(better, common, length), np.where(better, text, where)
+    doc, word = shard.place(places)
+    best = np.lexsort((word, -length, doc))
+    best = best[np.unique(doc[best], return_index=True)[1]]
+    item, item_word = block.place(where[best])
+    values = (doc[best], length[best], word[best], item, item_word)
+    return {
+        d: {"length": n, "word": w, "item": block.names[i], "item_word": iw}
+        for d, n, w, i, iw in zip(*(v.tolist() for v in values))
+    }
+
+
+def _longer(a: dict | None, b: dict | None) -> dict | None:
+    """The longer match, the first in the document among equal ones; ``a`` if both are the same."""
+    found = [m for m in (a, b) if m]
+    return min(found, key=lambda m: (-m["length"], m["word"]), default=None)
+
+
 def _longest_in_shards(shared, options: DecontaminationOptions):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        starts = np.flatnonzero(block.left > 0)
-        limit = block.left[starts]
-        names = np.array(block.names, object)[block.item[starts]] if len(starts) else np.zeros(0, object)
-        first = np.concatenate([[0], np.flatnonzero(block.words == 0) + 1])
-        word = starts - first[block.item[starts]] if len(starts) else starts
+        starts, limit = block.suffixes, block.left[block.suffixes]
+        item, word = block.place(starts) if len(starts) else (starts, starts)
+        names = np.array(block.names, object)[item] if len(starts) else np.zeros(0, object)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
             for row, end in pieces(offsets, options.shard_bytes):
-                shard = _shard(data, offsets[row : end + 1], block, int(block.left.max(initial=1)))
+                shard = _shard(data, offsets[row : end + 1], block, block.depth)
                 if not len(shard.order) or not len(starts):
                     continue
-                at = _bound(shard, block.words, starts, limit, False)
-                for side in (at - 1, at):
-                    text = shard.order[np.clip(side, 0, len(shard.order) - 1)]
-                    common, _ = _compare(shard.words, text, block.words, starts, limit)
-                    ok = (side >= 0) & (side < len(shard.order)) & (common > 0)
+                for common, text in _nearest(shard, block.words, starts, limit):
+                    ok = common > 0
                     doc, place = shard.place(text[ok])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[ok], pa.string()), pa.array(word[ok]), pa.array(common[ok]), pa.array(ids[row + doc]), pa.array(place)],

@@ -59,9 +59,40 @@ def test_against_scan(spark, make_docs, odd_texts):
         assert got(spark, make_docs(docs), items, options) == scanned(docs, items, options.window)
 
 
+def common(a, b):
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_longest_match_of_every_document(spark, make_docs, odd_texts):
+    docs, items = sample(odd_texts)
+    items += [(20, items[0][1]), (21, items[0][1] + " and more of it")]  # an item that repeats another and one that goes on
+    docs = [(i, t) for i, t in docs if len(t or "") < 10_000] + [(900, items[-1][1]), (901, f"x {items[0][1]} {items[0][1]}")]
+    texts = {str(i): words(t) for i, t in items}
+    places = [(t, j) for t in texts.values() for j in range(len(t))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for options in (DecontaminationOptions(), DecontaminationOptions(window=5, block_words=20, shard_bytes=200)):
+        rows = {r["doc_id"]: r for r in find_contamination(make_docs(docs), bench, options).collect()}
+        for doc, text in docs:
+            w, found = words(text), rows[doc]["longest"]
+            lengths = []
+            for p in range(len(w)):
+                matches = [(common(w[p:], t[j:]), t, j) for t, j in places]
+                begun = any(n >= min(options.window, len(t)) and (j == 0 or len(t) - j >= options.window) for n, t, j in matches)
+                lengths.append(max(n for n, _, _ in matches) if begun else 0)
+            if not rows[doc]["items"]:
+                assert found is None and not any(lengths)
+                continue
+            assert (found["length"], found["word"]) == (max(lengths), lengths.index(max(lengths)))
+            end = found["item_word"] + found["length"]
+            assert texts[found["item"]][found["item_word"] : end] == w[found["word"] : found["word"] + found["length"]]
+
+
 def test_spans_and_removal(spark, make_docs):
     bench = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "x y z")], "item_id long, text string")
-    docs = make_docs([(1, "z a b c d e a b c d"), (2, "x y z"), (3, None), (3, None)]).withColumnRenamed("n_chars", "items")
+    docs = make_docs([(1, "z a b c d e a b c d"), (2, "x y z"), (3, None), (3, None)]).withColumnRenamed("n_chars", "items").withColumnRenamed("lang", "longest")
     options = DecontaminationOptions(window=3)
     found = {r["doc_id"]: r for r in find_contamination(docs, bench, options).collect()}
     assert [tuple(s) for s in found[1]["spans"]] == [(1, 5), (6, 10)]
