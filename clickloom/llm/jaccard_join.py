@@ -17,12 +17,12 @@ ones; every step replicates what the triangle inequality leaves open.
    difference bounds the distance from below by the L1 distance of the vectors.
    Pairs beyond the bound are dropped; what is left joins documents into
    regions that no link leaves. Only spanning trees are sent on.
-3. A region is joined exactly on whole shingle sets. A region of more than
-   ``region_shingles`` is split first by documents as pivots: each goes to
-   the Voronoi cell of the nearest one and, within a window of 2 eps, to those
-   of the others, and the cells are split again. Documents linked to their pivot
-   are one class already; they stay in the cell only if some unlinked document
-   of the cell can be within eps.
+3. A region of more than ``leaf_documents`` is split by documents as pivots: each
+   document goes to the Voronoi cell of the nearest pivot and, within a window of
+   2 eps, to those of the others, and the cells are split again. Documents linked
+   to their pivot are one class already; they stay in the cell only if some unlinked
+   document of the cell can be within eps. The small cells that are left, the leaves,
+   are joined exactly on whole shingle sets.
 
 Documents as pivots of the first step would be useless: unrelated documents are
 at distance 0.98 to 1 from each other, so that every window would hold every
@@ -56,8 +56,9 @@ class JoinOptions:
     ``common``: cells of more documents have their shingle moved to the end of
     the order; ``common_limit``: at most so many, the most frequent, are moved.
     ``shared_part``: one cell in so many shingles has to be shared, besides one. All
-    change the work, never the result. ``pivots``: documents that split a region
-    of over ``region_shingles``, which bounds what a task holds.
+    change the work, never the result. ``pivots``: documents that split a region of
+    more than ``leaf_documents``. ``region_shingles`` bounds what a task holds: a region
+    that pivots do not make smaller is joined in blocks of half as many.
     """
 
     shingle: int = 5
@@ -66,6 +67,7 @@ class JoinOptions:
     common_limit: int = 500_000
     shared_part: int = 10
     region_shingles: int = 1_000_000
+    leaf_documents: int = 8
     pivots: int = 8
 
     def cells(self, n: int) -> int:
@@ -100,14 +102,25 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions(), id
     sets = saved(linkable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "overlaps", "cells")).alias("p")).select("rep", "p.*"))
     regions = saved(_regions(sets, options))
     links = _join_regions(texts, regions, options)
-    # copies of one set, and what the regions have linked
-    copies = linkable.join(linkable.groupBy("d1", "d2").agg(F.min("id").alias("rep")), ["d1", "d2"]).select("id", "rep")
-    found = connected_components(links.unionByName(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    found = connected_components(links.unionByName(_copies(linkable)))
     return profiles.join(found, profiles.id == found.node, "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _copies(linkable: DataFrame, parts: int = 256) -> DataFrame:
+    """Links (a, b) of each id to the smallest one of its set, by way of the smallest of its part.
+
+    A set of very many copies is dealt into parts, so that no task has all of them.
+    """
+    dealt = linkable.select("d1", "d2", "id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    firsts = dealt.groupBy("d1", "d2", "part").agg(F.min("id").alias("first"))
+    reps = firsts.groupBy("d1", "d2").agg(F.min("first").alias("rep"), F.collect_list("first").alias("firsts"))
+    inner = dealt.join(firsts, ["d1", "d2", "part"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    outer = reps.select(F.explode("firsts").alias("a"), F.col("rep").alias("b"))
+    return inner.unionByName(outer).where("a <> b")
+
+
 # --- 1: cells of single shingles ------------------------------------------------------
 
 
@@ -257,15 +270,20 @@ def _join_regions(texts: DataFrame, regions: DataFrame, options: JoinOptions) ->
     """Links (a, b) that connect all documents linked within regions."""
     chosen = texts.join(regions, texts.id == regions.rep).select("region", "rep", "text", F.xxhash64("text").alias("copy"))
     chosen = chosen.dropDuplicates(["region", "rep", "copy"]).drop("copy")
-    large = regions.groupBy("region").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > options.region_shingles).select("region")
+    large = saved(regions.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("weight")).where(_is_large(options)))
     links = []
     if large.take(1):
-        members = chosen.join(large, "region").mapInArrow(_encoder(options), "region long, rep long, shingles binary")
+        members = chosen.join(large, "region", "left_semi").mapInArrow(_encoder(options), "region long, rep long, shingles binary")
         chosen = chosen.join(large, "region", "left_anti").select("region", "rep", "text")
         links = _split_regions(saved(members), options)
     return saved(reduce(DataFrame.unionByName, [_join_leaves(chosen, options), *links]))
 
 
+def _is_large(options: JoinOptions) -> Column:
+    """Whether a region is split: by its documents, or by its shingles if there are more than two documents."""
+    return (F.col("rows") > options.leaf_documents) | ((F.col("weight") > options.region_shingles) & (F.col("rows") > 2))
+
+
 def _sets(batch: pa.RecordBatch, options: JoinOptions) -> Iterator[np.ndarray]:
     """The shingle sets of the third column, which are texts or encoded sets."""
     column = batch.column(2)
@@ -359,47 +377,58 @@ def linked_labels(sets: list[np.ndarray], options: JoinOptions) -> np.ndarray:
 def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     """Links of large regions, by Voronoi cells around documents, again and again.
 
-    A level that does not make the cells smaller is followed by a join in blocks
-    of the same rows, which needs no pivots.
+    A region whose cells would hold nearly all of it again is joined in blocks,
+    which need no pivots; the others go on as their cells.
     """
     links, level = [], 0
-    eps = 1 - options.percent / 100
     while True:
         sizes = members.groupBy("region").agg(F.count("*").alias("rows"), _weight().alias("weight"))
-        large = saved(sizes.where(F.col("weight") > options.region_shingles))
+        large = saved(sizes.where(_is_large(options)))
         links.append(_join_leaves(members.join(large, "region", "left_anti"), options))
-        before = large.agg(F.sum("weight")).first()[0]
-        if not before:
+        if not large.take(1):
             return links
-        order = F.xxhash64("rep", F.lit(level))
-        big = members.join(large, "region").withColumn("part", F.pmod(order, F.ceil(F.col("rows") / 1000)))
-        picked = big.groupBy("region", F.pmod(order, F.lit(options.pivots)).alias("p")).agg(
-            F.min_by(F.struct("rep", "shingles"), F.struct(order, "rep")).alias("pivot"), F.max("rows").alias("rows")
-        )
-        pivots = picked.select(F.col("region").alias("cell"), "pivot.*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / 1000) - 1)).alias("block"))
-        measured = saved(
-            big.select("region", "part", "rep", "shingles").groupBy("region", "part").cogroup(pivots.groupBy("cell", "block")).applyInArrow(
-                _distances, "region long, rep long, shingles binary, pivots array<long>, distances array<double>"
-            )
-        )
-        near = F.expr("array_min(transform(distances, (d, i) -> named_struct('d', d, 'p', pivots[i])))")
-        cells = measured.withColumn("near", near)
-        links.append(
-            cells.select("rep", F.explode(F.arrays_zip("pivots", "distances")).alias("x"))
-            .where(F.col("x.distances") <= eps + 1e-9).where("rep <> x.pivots")
-            .select(F.col("rep").alias("a"), F.col("x.pivots").alias("b"))
-        )
-        dealt = cells.select("rep", "shingles", "near", F.explode(F.arrays_zip("pivots", "distances")).alias("x")).where(
-            F.col("x.distances") <= F.col("near.d") + 2 * eps + 1e-9
+        big = members.join(large, "region")
+        found, cells = _voronoi_cells(big, level, options)
+        links.append(found)
+        held = cells.groupBy("parent", "region").agg(_weight().alias("w")).groupBy("parent")
+        held = held.agg(F.sum("w").alias("sum"), F.sum(F.col("w") * F.col("w")).alias("squares"))
+        helps = (F.col("squares") <= F.col("weight") * F.col("weight") / 2) & (F.col("sum") <= 1.5 * F.col("weight"))
+        judged = saved(large.join(held, large.region == held.parent, "left").select(large.region, F.coalesce(helps, F.lit(True)).alias("helps")))
+        if judged.where("not helps").take(1):
+            links.append(_join_blocks(big.join(judged.where("not helps"), "region", "left_semi").select("region", "rep", "shingles"), options))
+        split = judged.where("helps").select(F.col("region").alias("parent"))
+        # a document may be a pivot of two regions: their cells become one
+        next_ = cells.join(split, "parent", "left_semi").withColumn("copy", F.xxhash64("shingles"))
+        members, level = saved(next_.dropDuplicates(["region", "rep", "copy"]).select("region", "rep", "shingles")), level + 1
+
+
+def _voronoi_cells(big: DataFrame, level: int, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
+    """Links of documents with pivots, and the cells (parent, region, rep, shingles) of the regions.
+
+    Every pair linked within a region is in one of its cells, or both are linked with a pivot.
+    """
+    eps = 1 - options.percent / 100
+    order = F.xxhash64("rep", F.lit(level))
+    parts = F.ceil(F.greatest(F.col("rows") / 1000, 2 * F.col("weight") / options.region_shingles))
+    big = big.withColumn("parts", parts).withColumn("part", F.pmod(order, "parts"))
+    picked = big.groupBy("region", F.pmod(order, F.lit(options.pivots)).alias("p")).agg(
+        F.min_by(F.struct("rep", "shingles"), F.struct(order, "rep")).alias("pivot"), F.max("parts").alias("parts")
+    )
+    pivots = picked.select(F.col("region").alias("cell"), "pivot.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    measured = saved(
+        big.select("region", "part", "rep", "shingles").groupBy("region", "part").cogroup(pivots.groupBy("cell", "block")).applyInArrow(
+            _distances, "region long, rep long, shingles binary, pivots array<long>, distances array<double>"
         )
-        linked = F.col("distances") <= eps - 1e-9
-        dealt = dealt.select(F.col("x.pivots").alias("region"), "rep", "shingles", F.col("x.distances").alias("distances"))
-        outside = dealt.where(~linked).groupBy("region").agg(F.min("distances").alias("outside"))
-        next_ = dealt.join(outside, "region").where(~linked | (F.col("distances") >= F.col("outside") - eps - 1e-9))
-        closer = saved(next_.select("region", "rep", "shingles"))
-        if (closer.agg(_weight()).first()[0] or 0) >= 0.9 * before:
-            return [*links, _join_blocks(big.select("region", "rep", "shingles"), options)]
-        members, level = closer, level + 1
+    )
+    near, x = F.array_min("distances").alias("near"), F.explode(F.arrays_zip("pivots", "distances")).alias("x")
+    each = measured.select(F.col("region").alias("parent"), "rep", "shingles", near, x)
+    each = each.select("parent", "rep", "shingles", "near", F.col("x.pivots").alias("region"), F.col("x.distances").alias("apart"))
+    links = each.where((F.col("apart") <= eps + 1e-9) & (F.col("rep") != F.col("region")))
+    dealt = each.where(F.col("apart") <= F.col("near") + 2 * eps + 1e-9)
+    linked = F.col("apart") <= eps - 1e-9
+    outside = dealt.where(~linked).groupBy("parent", "region").agg(F.min("apart").alias("outside"))
+    kept = dealt.join(outside, ["parent", "region"]).where(~linked | (F.col("apart") >= F.col("outside") - eps - 1e-9))
+    return links.select(F.col("rep").alias("a"), F.col("region").alias("b")), kept.select("parent", "region", "rep", "shingles")
 
 
 def _weight() -> Column:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from clickloom.llm import jaccard_join
 from clickloom.llm.components import connected_components
 from clickloom.llm.jaccard_join import JoinOptions, jaccard_components, keep_representatives, linked_labels
 from llm_texts import sentence
@@ -56,7 +57,7 @@ def near_copies(seed, groups=6, copies=6):
         JoinOptions(),
         JoinOptions(shingle=3, percent=90),
         JoinOptions(shingle=2, percent=60, common=2, common_limit=20, shared_part=1000),
-        JoinOptions(shingle=2, percent=70, region_shingles=50, pivots=2, shared_part=5),
+        JoinOptions(shingle=2, percent=70, region_shingles=50, leaf_documents=2, pivots=2, shared_part=5),
     ],
 )
 def test_against_all_pairs(make_docs, odd_texts, options):
@@ -75,6 +76,22 @@ def test_chains_of_links(make_docs):
     assert {r[2] for r in jaccard_components(make_docs(rows), options).collect()} == {31}
 
 
+@pytest.mark.parametrize("options", [JoinOptions(shingle=3, percent=90), JoinOptions()])
+def test_regions_are_split_level_by_level(make_docs, monkeypatch, options):
+    rng = random.Random(9)
+    words, rows, at = [f"w{i}" for i in range(4000)], [], 0
+    for number in range(400):  # a long band of texts, each near the next ones only, with gaps
+        rows.append((number, " ".join(words[at : at + 120])))
+        at += rng.choice([1, 2, 3]) if rng.random() < 0.98 else 40
+    rows += [(1000 + i, rows[7][1]) for i in range(30)]
+    levels = []
+    split = jaccard_join._voronoi_cells
+    monkeypatch.setattr(jaccard_join, "_voronoi_cells", lambda big, level, o: levels.append(level) or split(big, level, o))
+    got = {tuple(r) for r in jaccard_components(make_docs(rows), options).collect()}
+    assert got == all_pairs(rows, options)
+    assert len({c for _, _, c in got}) > 1 and max(levels) >= 1
+
+
 def test_dense_class_costs_no_pairs():
     base = np.arange(200, dtype=np.uint64)
     sets = [np.sort(np.append(base, np.uint64(1000 + i))) for i in range(500)] + [np.array([5], np.uint64)]
