@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.llm.storage import saved
+
 #: The template. A turn is OPEN role SEPARATOR text CLOSE, role and text escaped.
 OPEN, SEPARATOR, CLOSE = "### ", ": ", "</turn>\n"
 
@@ -52,49 +54,37 @@ def format_conversations(turns: DataFrame, options: ChatOptions = ChatOptions())
     assistant turns: each is a target once. Null roles and texts are empty;
     texts stay whole, and a window whose system and new turns alone exceed the
     budget says so. A null ``conv_id`` is a conversation. Other columns are
-    ignored; an empty table gives no rows. A conversation is put together in one
-    task, as its windows depend on each other.
+    ignored; an empty table gives no rows.
+
+    Prefix sums and window ends come from window functions over the turns, whose
+    frames hold turns of ``history`` or ``budget`` tokens. Of a whole conversation
+    only a few numbers a turn meet, for the walk from one window to the next; texts
+    are put together window by window.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     coded = F.concat(F.lit(OPEN), escape(role, role=True), F.lit(SEPARATOR), escape(text), F.lit(CLOSE))
     start = F.length(F.concat(F.lit(OPEN), escape(role, role=True), F.lit(SEPARATOR)))
-    turn = F.struct(
-        F.col("turn"),
-        role.alias("role"),
-        text.alias("text"),
-        coded.alias("coded"),
-        start.alias("start"),
-        F.length(coded).alias("chars"),
-        F.ceil(F.length(coded) / options.chars_per_token).cast("int").alias("tokens"),
+    laid = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), coded.alias("coded"), start.alias("start"))
+    laid = laid.withColumn("chars", F.length("coded")).withColumn("tokens", F.ceil(F.col("chars") / options.chars_per_token))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    numbered = saved(
+        laid.select("conv_id", "role", "coded", "start", "chars", "tokens", (F.row_number().over(order) - 1).alias("i"), before.alias("before"))
     )
-    whole = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # prefix sums of tokens and the number of leading system turns
-    sums = F.aggregate("turns", F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + t["tokens"])))
-    other = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] != "system", i)), lambda i: i.isNotNull())
-    laid = whole.select("conv_id", "turns", sums.alias("sums"), F.coalesce(F.get(other, F.lit(0)), F.size("turns")).alias("system"))
-    number = F.size("turns")
+    windows = _walk(_spans(numbered, options))
+    none = F.array().cast("array<int>")
+    head = F.when(F.col("head") > 0, F.sequence(F.lit(0), F.col("head") - 1)).otherwise(none)
+    places = windows.withColumn("place", F.explode(F.concat(head, F.sequence("history", F.col("end") - 1))))
+    held = places.join(numbered.withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("place") == F.col("i")))
+    turn = F.struct("i", "role", "start", "chars", "tokens", "coded")
+    whole = held.groupBy("conv_id", "window", "first").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     spans = F.aggregate(
-        F.sequence(F.lit(0), number - 1),
-        F.expr("cast(array() as array<struct<history:int, first:int, end:int>>)"),
-        lambda found, i: _with_turn(found, i, options),
-    )
-    windows = laid.where(number > 0).select("conv_id", "turns", "sums", "system", F.posexplode(spans).alias("window", "span"))
-    # what a window holds: system turns, history, new turns
-    first, end = F.col("span.first"), F.col("span.end")
-    head = F.when(first > 0, F.slice("turns", 1, F.least("system", first))).otherwise(F.slice("turns", 1, 0))
-    past = F.slice("turns", F.col("span.history") + 1, first - F.col("span.history"))
-    new = F.slice("turns", first + 1, end - first)
-    held = windows.select("conv_id", "window", F.concat(head, past).alias("old"), new.alias("new"))
-    places = F.aggregate(
-        "new",
-        F.struct(
-            F.aggregate("old", F.lit(0), lambda n, t: n + t["chars"]).alias("at"),
-            F.expr("cast(array() as array<struct<start:int, end:int>>)").alias("spans"),
-        ),
+        "turns",
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int, end:int>>)").alias("spans")),
         lambda s, t: F.struct(
             (s["at"] + t["chars"]).alias("at"),
             F.when(
-                t["role"] == "assistant",
+                (t["role"] == "assistant") & (t["i"] >= F.col("first")),
                 F.concat(
                     s["spans"],
                     F.array(F.struct((s["at"] + t["start"]).alias("start"), (s["at"] + t["chars"] - len(CLOSE)).alias("end"))),
@@ -103,35 +93,66 @@ def format_conversations(turns: DataFrame, options: ChatOptions = ChatOptions())
         ),
         lambda s: s["spans"],
     )
-    every = F.concat("old", "new")
-    tokens = F.aggregate(every, F.lit(0), lambda n, t: n + t["tokens"])
-    return held.select(
+    return whole.select(
         "conv_id",
         "window",
-        F.array_join(F.transform(every, lambda t: t["coded"]), "").alias("text"),
-        F.size("old").alias("repeated"),
-        places.alias("loss"),
-        (tokens > options.budget).alias("over_budget"),
+        F.array_join(F.transform("turns", lambda t: t["coded"]), "").alias("text"),
+        F.size(F.filter("turns", lambda t: t["i"] < F.col("first"))).alias("repeated"),
+        spans.alias("loss"),
+        (F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["tokens"]) > options.budget).alias("over_budget"),
     )
 
 
-def _with_turn(found: Column, i: Column, options: ChatOptions) -> Column:
-    """Turn ``i`` joins the last window if the budget allows, else it begins one with history before it."""
-    last = F.get(found, F.size(found) - 1)
-    sums, system = F.col("sums"), F.col("system")
-    at = lambda n: F.element_at(sums, n.cast("int") + 1)
-    head = F.when(last["first"] > 0, at(F.least(system, last["first"]))).otherwise(0)
-    fits = head + at(i + 1) - at(last["history"]) <= options.budget
-    longer = F.concat(
-        F.slice(found, 1, F.size(found) - 1),
-        F.array(F.struct(last["history"].alias("history"), last["first"].alias("first"), (i + 1).cast("int").alias("end"))),
+def _spans(numbered: DataFrame, options: ChatOptions) -> DataFrame:
+    """For each turn the window that would begin with it: (conv_id, i, head, history, end).
+
+    ``head`` system turns, then the turns from ``history`` on up to ``end``. A turn has
+    tokens, so that frames by tokens are short and their order is that of the turns.
+    """
+    order = Window.partitionBy("conv_id").orderBy("before")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    spoken = F.col("role") != "system"
+    turn = F.struct(F.col("i"), F.col("before"))
+    framed = numbered.select(
+        "conv_id",
+        "i",
+        "before",
+        "tokens",
+        F.coalesce(F.min(F.when(spoken, F.col("i"))).over(earlier), "i").alias("head"),
+        F.coalesce(F.min(F.when(spoken, F.col("before"))).over(earlier), "before").alias("head_tokens"),
+        F.collect_list(turn).over(order.rangeBetween(-options.history, 0)).alias("past"),
+        F.collect_list(F.col("before") + F.col("tokens")).over(order.rangeBetween(0, options.budget)).alias("ends"),
     )
-    # the earliest turn after the system turns from which on history and the new turn fit
-    own_head = at(F.least(system, i))
-    room = F.least(F.lit(options.history), F.lit(options.budget) - own_head - (at(i + 1) - at(i)))
-    back = F.array_min(F.filter(F.sequence(F.least(system, i), i), lambda j: (at(i) - at(j) <= room) | (j == i)))
-    begun = F.concat(found, F.array(F.struct(back.cast("int").alias("history"), i.cast("int").alias("first"), (i + 1).cast("int").alias("end"))))
-    return F.when((F.size(found) > 0) & fits, longer).otherwise(begun)
+    room = F.least(F.lit(options.history).cast("long"), F.lit(options.budget) - F.col("head_tokens") - F.col("tokens"))
+    fits = lambda t: (t["i"] == F.col("i")) | ((t["i"] >= F.col("head")) & (F.col("before") - t["before"] <= room))
+    begun = framed.withColumn("from", F.array_min(F.filter("past", fits)))
+    limit = F.lit(options.budget) - F.col("head_tokens") + F.col("from.before")
+    count = F.greatest(F.lit(1), F.size(F.filter("ends", lambda e: e <= limit)))
+    return begun.select("conv_id", "i", "head", F.col("from.i").alias("history"), (F.col("i") + count).alias("end"))
+
+
+def _walk(spans: DataFrame, part: int = 1000) -> DataFrame:
+    """(conv_id, window, first, head, history, end): from turn 0 on, each window begins where the last one ends.
+
+    Windows are gathered in parts, so that a long walk does not copy all of them at every step.
+    """
+    span = F.struct(F.col("i").alias("first"), "head", "history", "end")
+    whole = spans.groupBy("conv_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    kind = "array<struct<first:int, head:int, history:int, end:int>>"
+    none = F.expr(f"cast(array() as {kind})")
+
+    def step(state: Column, s: Column) -> Column:
+        full = F.size(state["open"]) >= part
+        begun = F.struct(
+            s["end"].alias("next"),
+            F.when(full, F.concat(state["full"], F.array(state["open"]))).otherwise(state["full"]).alias("full"),
+            F.when(full, F.array(s)).otherwise(F.concat(state["open"], F.array(s))).alias("open"),
+        )
+        return F.when(s["first"] == state["next"], begun).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("next"), F.expr(f"cast(array() as array<{kind}>)").alias("full"), none.alias("open"))
+    found = F.aggregate("spans", start, step, lambda s: F.concat(F.flatten(s["full"]), s["open"]))
+    return whole.select("conv_id", F.posexplode(found).alias("window", "span")).select("conv_id", "window", "span.*")
 
 
 def read_turns(text: Column) -> Column:

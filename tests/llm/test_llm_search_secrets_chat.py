@@ -200,3 +200,17 @@ def decode(text):
 
 def test_no_conversations(spark):
     assert format_conversations(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    count = 100_000
+    turns = spark.range(count).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("t"), F.col("id")).alias("text"),
+    )
+    windows = format_conversations(turns)
+    held = F.size(read_turns(F.col("text")))
+    new, targets = windows.select(F.sum(held - F.col("repeated")), F.sum(F.size("loss"))).first()
+    assert (new, targets) == (count, count // 2 - 1)
