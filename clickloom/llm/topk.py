@@ -1,12 +1,13 @@
 """Exact top-k search by aggregation without random access.
 
 Vectors are dealt into blocks; a block keeps one list per dimension, sorted by
-component. A query reads each list from the end where its own component gives
-high products, all lists to the same depth. A vector's score so far, plus the
-last value read from each list where it has not been seen, is an upper bound;
-plus the worst value of the list, a lower one. Reading goes deeper until the
-vectors whose upper bound reaches the k-th lower bound are few; all others cannot
-qualify. The scores of those few are then resolved.
+component. A query reads each list in order, from the end where its own component
+gives high products, first the lists whose unread entries can add most. What a
+vector has been seen with, plus the worst value of the lists where it has not, is a
+lower bound; plus the last value read from them, an upper one. Vectors whose
+upper bound is below the k-th lower bound cannot qualify and are dropped. When few
+are left reading stops, and their scores are resolved. The first block's k-th score
+of each query is a lower bound with which all other blocks begin.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ from clickloom.llm.storage import saved
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """``block``: vectors, or queries, that a task holds about; ``first_depth``: share of the lists
-    read in the first round, doubled in each that follows; ``few``: candidates per result, below which
-    reading stops."""
+    """``block``: vectors, or queries, that a task holds about; ``step``: share of a list read at a
+    time; ``few``: candidates per result, below which reading stops."""
 
     k: int = 5
     block: int = 4096
-    queries_at_once: int = 64
-    first_depth: float = 1 / 8
+    step: float = 1 / 16
     few: int = 8
 
 
@@ -61,11 +60,21 @@ def search(vectors: DataFrame, queries: DataFrame, options: SearchOptions = Sear
     right = asked.select(
         "query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vector_blocks - 1).cast("long"))).alias("v")
     )
-    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q"))
-    best = pairs.applyInArrow(lambda x, y: _search_block(x, y, options), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    first = saved(_best_of_blocks(left.where("v = 0"), right.where("v = 0").withColumn("floor", F.lit(None).cast("long")), options))
+    best = first
+    if vector_blocks > 1:
+        floors = _ranked(first).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        best = first.unionByName(_best_of_blocks(left.where("v > 0"), right.where("v > 0").join(floors, "query_id", "left"), options))
+    return _ranked(best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best_of_blocks(vectors: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
+    pairs = vectors.groupBy("v", "q").cogroup(queries.groupBy("v", "q"))
+    return pairs.applyInArrow(lambda x, y: _search_block(x, y, options), "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
 
 
 def _first_ids(vectors: DataFrame, count: int) -> DataFrame:
@@ -97,11 +106,10 @@ def _search_block(left: pa.Table, right: pa.Table, options: SearchOptions) -> pa
         vectors, queries = _matrix(left["vector"], width), _matrix(right["vector"], width)
         ids, asked = left["ids"].to_pylist(), right["query_id"].to_pylist()
         lists = SortedLists(vectors)
-        for i in range(0, len(asked), options.queries_at_once):
-            for j, rows in enumerate(lists.candidates(queries[i : i + options.queries_at_once], options), i):
-                query, scores = asked[j], vectors[rows] @ queries[j]
-                every = sorted((-int(s), v) for s, r in zip(scores, rows) for v in ids[r] if v != query)
-                found += [(query, v, -s) for s, v in every[: options.k]]
+        for query, values, floor in zip(asked, queries, right["floor"].to_pylist()):
+            rows = Reading(lists, values, options.k + 1, floor).candidates(options)
+            every = sorted((-int(s), v) for s, r in zip(vectors[rows] @ values, rows) for v in ids[r] if v != query)
+            found += [(query, v, -s) for s, v in every[: options.k]]
     columns = list(zip(*found)) or [(), (), ()]
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
 
@@ -110,56 +118,67 @@ class SortedLists:
     """Per dimension, all vectors of a block in order of their component."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
         order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        self.order = np.ascontiguousarray(order.T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
         self.place = np.empty_like(order)
         np.put_along_axis(self.place, order, np.arange(len(vectors))[:, None].repeat(vectors.shape[1], 1), axis=0)
 
-    def candidates(self, queries: np.ndarray, options: SearchOptions) -> list[np.ndarray]:
-        """For each query, rows among which are all with one of the k + 1 highest scores, ties included.
-
-        One more than k, as a query may be its own candidate.
-        """
-        count = len(self.vectors)
-        wanted = min(count, options.k + 1)
-        few = options.few * wanted
-        found: list[np.ndarray | None] = [None] * len(queries)
-        open_ = np.arange(len(queries))
-        depth = max(1, int(count * options.first_depth))
-        while len(open_):
-            if depth >= count or count <= few:
-                for i in open_:
-                    found[i] = self._at_end(queries[i], wanted)
-                break
-            lower, upper = self._bounds(queries[open_], depth)
-            floor = np.partition(lower, count - wanted, axis=0)[count - wanted]
-            alive = upper >= floor
-            for j in np.flatnonzero(alive.sum(axis=0) <= few):
-                found[open_[j]] = np.flatnonzero(alive[:, j])
-            open_ = open_[alive.sum(axis=0) > few]
-            depth *= 2
-        return found
-
-    def _bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (vectors x queries) after ``depth`` entries of each list.
-
-        Entries are read from the top where the query's component is positive,
-        from the bottom where it is negative.
-        """
-        count = len(self.vectors)
-        lower = upper = 0
-        for part, seen, last, worst in (
-            (np.maximum(queries, 0), self.place >= count - depth, self.sorted[count - depth], self.sorted[0]),
-            (np.minimum(queries, 0), self.place < depth, self.sorted[depth - 1], self.sorted[-1]),
-        ):
-            scores = np.where(seen, self.vectors, 0) @ part.T
-            unseen = (~seen).astype(np.float64)
-            lower = lower + scores + unseen @ (part * worst).T
-            upper = upper + scores + unseen @ (part * last).T
-        return lower, upper
-
-    def _at_end(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Lists read to their ends: both bounds are the scores."""
-        scores = self.vectors @ query
-        return np.flatnonzero(scores >= np.partition(scores, len(scores) - wanted)[len(scores) - wanted])
+
+class Reading:
+    """How far one query has read the lists, and its bounds of the vectors that can still qualify.
+
+    ``wanted`` is one more than k, as a query may be its own candidate. ``floor``: a
+    score that k vectors of other blocks reach, if known.
+    """
+
+    def __init__(self, lists: SortedLists, query: np.ndarray, wanted: int, floor: float | None = None):
+        self.lists, count = lists, lists.order.shape[1]
+        self.wanted, self.floor = min(count, wanted), -np.inf if floor is None else floor
+        self.dims = np.flatnonzero(query)
+        self.query, self.up = query[self.dims], query[self.dims] > 0
+        values = lists.sorted[self.dims]
+        self.worst = np.where(self.up, values[:, 0], values[:, -1])
+        self.unread = self.query * (np.where(self.up, values[:, -1], values[:, 0]) - self.worst)  # at most, a list
+        self.read = np.zeros(len(self.dims), np.int64)
+        self.lower = np.full(count, float(self.query @ self.worst))
+        self.rows = np.arange(count)  # not dropped yet
+
+    def deepen(self, step: int) -> None:
+        """Read ``step`` more entries of the lists that can add most."""
+        lists, count = self.lists, len(self.lower)
+        chosen = np.flatnonzero((self.unread > 0) & (self.unread >= self.unread.max(initial=0) / 2))
+        at = self.read[chosen, None] + np.arange(step)
+        inside = at < count
+        at = np.minimum(at, count - 1)
+        place = np.where(self.up[chosen, None], count - 1 - at, at)
+        dims = self.dims[chosen, None]
+        gains = self.query[chosen, None] * (lists.sorted[dims, place] - self.worst[chosen, None])
+        self.lower += np.bincount(lists.order[dims, place].ravel(), (gains * inside).ravel(), count)
+        self.read[chosen] = np.minimum(self.read[chosen] + step, count)
+        self.unread[chosen] = np.where(self.read[chosen] < count, gains[:, -1], 0)
+
+    def upper(self) -> np.ndarray:
+        """Upper bounds of ``rows``."""
+        place = self.lists.place[np.ix_(self.rows, self.dims)]
+        unseen = np.where(self.up, len(self.lower) - 1 - place, place) >= self.read
+        return self.lower[self.rows] + unseen @ self.unread
+
+    def drop(self) -> None:
+        """Drop the rows that cannot qualify."""
+        least = len(self.lower) - self.wanted
+        self.floor = max(self.floor, np.partition(self.lower, least)[least])
+        self.rows = self.rows[self.lower[self.rows] + self.unread.sum() >= self.floor]
+        self.rows = self.rows[self.upper() >= self.floor]
+
+    def candidates(self, options: SearchOptions) -> np.ndarray:
+        """Rows among which all are that can be among the best, ties included."""
+        step = max(1, int(len(self.lower) * options.step))
+        while len(self.rows) > options.few * self.wanted and self.unread.any():
+            self.deepen(step)
+            self.drop()
+        return self.rows
+
+    def depth(self) -> float:
+        """The share of the entries of all lists that has been read."""
+        return float(self.read.mean()) / len(self.lower) if len(self.read) else 0.0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clickloom.llm.chat import ChatOptions, escape, format_conversations, read_turns, unescape
 from clickloom.llm.queries import op6_secret_scan
 from clickloom.llm.secret_scan import SecretOptions, scan_secrets
-from clickloom.llm.topk import SearchOptions, SortedLists, search, whole_components
+from clickloom.llm.topk import Reading, SearchOptions, SortedLists, search, whole_components
 
 # --- top-k search -------------------------------------------------------------------------------
 
@@ -26,7 +26,7 @@ def brute(vectors, queries, k):
     return found
 
 
-@pytest.mark.parametrize("options", [SearchOptions(), SearchOptions(k=3, block=40, queries_at_once=4, few=2)])
+@pytest.mark.parametrize("options", [SearchOptions(), SearchOptions(k=3, block=40, step=1 / 4, few=2)])
 def test_search_with_ties_and_copies(spark, options):
     rng = random.Random(options.k)
     vectors = [(i, [rng.randint(-3, 3) for _ in range(rng.choice([6, 6, 6, 4]))]) for i in range(300)]
@@ -50,16 +50,34 @@ def test_search_of_little(spark):
 def test_reading_stops_early_and_loses_nothing():
     rng = np.random.default_rng(1)
     vectors = np.floor(256 * rng.normal(0, 1, (2000, 3)))
-    queries, options = vectors[:20], SearchOptions()
     lists = SortedLists(vectors)
-    found = lists.candidates(queries, options)
-    for query, rows in zip(queries, found):
+    for query in vectors[:20]:
+        scores = vectors @ query
+        best = np.argsort(-scores, kind="stable")[:6]
+        for floor in (None, scores[best[4]]):
+            reading = Reading(lists, query, 6, floor)
+            rows = reading.candidates(SearchOptions())
+            assert set(best[:5] if floor else best) <= set(rows.tolist())
+            assert len(rows) < 100 and reading.depth() < 1
+        reading = Reading(lists, query, 6)
+        for _ in range(5):
+            reading.deepen(150)
+            assert (reading.lower <= scores).all() and (scores <= reading.upper()).all()
+        reading.deepen(2000), reading.deepen(2000), reading.deepen(2000)
+        assert (reading.lower == scores).all() and (scores == reading.upper()).all()
+
+
+def test_skewed_vectors_are_read_less_than_half():
+    rng = np.random.default_rng(2)
+    vectors = np.floor(256 * rng.normal(0, 1, (4000, 16)) ** 3 / np.arange(1, 17) ** 2)
+    lists = SortedLists(vectors)
+    depths = []
+    for query in vectors[:40]:
+        reading = Reading(lists, query, 6)
         best = np.argsort(-(vectors @ query), kind="stable")[:6]
-        assert set(best) <= set(rows.tolist())
-    assert max(len(rows) for rows in found) < 100
-    lower, upper = lists._bounds(queries, 300)
-    scores = vectors @ queries.T
-    assert (lower <= scores).all() and (scores <= upper).all()
+        assert set(best) <= set(reading.candidates(SearchOptions()).tolist())
+        depths.append(reading.depth())
+    assert max(depths) < 0.5
 
 
 def test_components_become_whole(spark):
