@@ -7,6 +7,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from clickloom.plans import event_index
 from clickloom.plans.event_index import SOURCE, filters_of, id_hash, possible_days, possible_places
 from clickloom.plans.refresh import refresh
 from clickloom.schema import EVENT_DAY
@@ -61,3 +62,20 @@ def test_a_refresh_reads_no_other_day(spark, zones, make_events):
     events = {r[0]: r[1] for r in spark.table(zones.sessions).select("domain_sessionid", "events").collect()}
     assert events == {"s0-0": 2, "s0-1": 1, "s1-0": 3, "s1-1": 1, "s2-0": 2, "s2-1": 2, "s1-9": 1, "s9": 1}
     assert len(rows_of(spark.table(zones.sessions))) == 8
+
+
+def test_many_ids_are_tested_without_a_row_per_filter(spark, monkeypatch):
+    """Ids and filters cut into pieces: the same places as by the join with broadcast ids."""
+    held = ids_of(spark, 0, 5_000, "2024-01-01")
+    for number in range(8):
+        held = held.unionByName(ids_of(spark, 100 * number, 60, f"2024-01-{number + 2:02d}", f"b{number % 3}"))
+    held = held.unionByName(ids_of(spark, 40, 20, None, "none"))
+    index = filters_of(held).localCheckpoint()
+    ids = ids_of(spark, 0, 7_000, None)
+    want = sorted(map(tuple, possible_places(index, ids, 7_000).collect()), key=repr)
+    for name, value in {"JOINED_TESTS": 0, "IDS_AT_ONCE": 1_000, "FILTERS_AT_ONCE": 3}.items():
+        monkeypatch.setattr(event_index, name, value)
+    places = possible_places(index, ids, 7_000)
+    plan = places._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    assert sorted(map(tuple, places.collect()), key=repr) == want and len(want) >= 5_500
