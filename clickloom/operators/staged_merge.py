@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.merge import check_unique, matched_partitions, updated
 from clickloom.session import Scratch
-from clickloom.sources.tables import partition_filter, partition_spec, spread
+from clickloom.sources.tables import bounded_sort, partition_filter, partition_spec, spread
 
 LOG = "merge_id STRING, partition STRING, old STRING, new STRING, step STRING, at TIMESTAMP"
 STAGED, DONE, UNDOING, UNDONE = "staged", "done", "undoing", "undone"
@@ -54,8 +54,9 @@ def staged_merge(
         merge_id = uuid.uuid4().hex
         aside = f"{_described(spark, table)}/_merge_{merge_id}"
         current = spark.table(table).where(partition_filter(partition_by, touched))
-        rows = spread(updated(current, source, on, changes), partition_by)
-        rows.write.option("compression", "zstd").partitionBy(*partition_by).parquet(aside)
+        rows = updated(current, source, on, changes)
+        with bounded_sort(rows):
+            spread(rows, partition_by).write.option("compression", "zstd").partitionBy(*partition_by).parquet(aside)
     entries = [
         (merge_id, json.dumps(partition_spec(r, partition_by)), _described(spark, table, partition_spec(r, partition_by)), new, STAGED)
         for r, new in _folders(spark, aside, partition_by, spark.table(table))

@@ -13,6 +13,7 @@ from clickloom.functions.casts import to_contract_type, typed_null
 from clickloom.functions.times import ntz
 from clickloom.schema import BATCH_ID, EVENT_PARTITIONS, EVENTS_SCHEMA
 from clickloom.sources.tables import (
+    bounded_sort,
     create_events_table,
     day_source,
     drop_partitions,
@@ -102,7 +103,9 @@ def append_normalized(source: DataFrame, table: str, cutover: datetime | None =
     """Further nested events into a table that ``normalize_into`` made; ``refresh_files`` finds them."""
     spark = source.sparkSession
     events = with_event_day(normalize_events(source, cutover), day_source(spark, table))
-    spread(events.select(*spark.table(table).columns), ["event_day", "event_name"]).write.mode("append").insertInto(table)
+    rows = events.select(*spark.table(table).columns)
+    with bounded_sort(rows):
+        spread(rows, ["event_day", "event_name"]).write.mode("append").insertInto(table)
 
 
 def load_events(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,10 @@ from clickloom.schema import BATCH_ID, EVENT_COLUMNS, EVENT_DAY, EVENT_PARTITION
 # Fixed value: the folder name of a NULL partition value.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+# What the sort of a write may hold in a task, and a row of mostly NULLs in a shuffle (measured: 69 bytes).
+SORT_BYTES = 256 << 20
+SHUFFLED_ROW = 64
+
 
 @dataclass(frozen=True)
 class Zones:
@@ -177,14 +182,15 @@ def write_partitioned(
     compression: str = "zstd",
 ) -> None:
     """Create ``table`` from ``df``; with ``replace=False`` an existing one is an error."""
-    (
-        spread(df, partition_by)
-        .write.format("parquet")
-        .option("compression", compression)
-        .mode("overwrite" if replace else "errorifexists")
-        .partitionBy(*partition_by)
-        .saveAsTable(table)
-    )
+    with bounded_sort(df):
+        (
+            spread(df, partition_by)
+            .write.format("parquet")
+            .option("compression", compression)
+            .mode("overwrite" if replace else "errorifexists")
+            .partitionBy(*partition_by)
+            .saveAsTable(table)
+        )
 
 
 def with_event_day(df: DataFrame, day_from: str) -> DataFrame:
@@ -195,19 +201,39 @@ _SETTING = threading.RLock()
 
 
 @contextmanager
-def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    """The write option of this name does not let a table be read by its own overwrite.
-
-    So the session is set for the time of the write, which takes turns.
-    """
-    setting = "spark.sql.sources.partitionOverwriteMode"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting for the time of a write, which takes turns."""
     with _SETTING:
-        before = spark.conf.get(setting)
-        spark.conf.set(setting, "dynamic")
+        before = spark.conf.get(name)
+        spark.conf.set(name, value)
         try:
             yield
         finally:
-            spark.conf.set(setting, before)
+            spark.conf.set(name, before)
+
+
+def _dynamic_overwrite(spark: SparkSession) -> AbstractContextManager[None]:
+    """The write option of this name does not let a table be read by its own overwrite, so the session is set."""
+    return _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def bounded_sort(df: DataFrame) -> AbstractContextManager[None]:
+    """For the write of ``spread`` rows, which sorts them by partition.
+
+    Adaptive execution sizes the tasks by shuffled bytes, where a NULL is next to
+    nothing; a sort holds 8 bytes and more a column. A wide table gets tasks of
+    less shuffled bytes than the session asks for, so that a sort stays near ``SORT_BYTES``.
+    """
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    asked = _bytes(df.sparkSession.conf.get(name))
+    bound = SORT_BYTES * SHUFFLED_ROW // (8 * len(df.columns))
+    return _setting(df.sparkSession, name, f"{min(asked, bound)}b")
+
+
+def _bytes(text: str) -> int:
+    """A size as Spark's settings have it: 67108864b, 64MB, 1m."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def overwrite_partitions(df: DataFrame, table: str, partition_by: list[str]) -> None:
@@ -217,7 +243,7 @@ def overwrite_partitions(df: DataFrame, table: str, partition_by: list[str]) ->
     """
     spark = df.sparkSession
     ordered = df.select(*spark.table(table).columns)
-    with _dynamic_overwrite(spark):
+    with _dynamic_overwrite(spark), bounded_sort(ordered):
         spread(ordered, partition_by).write.mode("overwrite").insertInto(table)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.verify import verify, verify_count
 from clickloom.schema import EVENT_COLUMNS, EVENTS_SCHEMA, IAB, UA, WEB_PAGE
+from clickloom.sources import tables
 from clickloom.sources.loading import load_events, normalize_events, normalize_into, to_contract
 from clickloom.sources.seeds import load_seed
 from clickloom.sources.tables import (
@@ -168,3 +169,23 @@ def test_duplicate_seed_keys_are_an_error(spark):
     assert rows_of(enrich(df, seed, "code")) == ["('DE', 'Germany')", "('XX', None)", "(None, None)"]
     with pytest.raises(ValueError):
         enrich(df, seed.union(seed), "code")
+
+
+def test_a_wide_table_is_written_by_smaller_tasks(spark, zones, make_events, monkeypatch):
+    """Rows of NULLs shrink in a shuffle, so its bytes do not bound the sort of a write; the setting comes back."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = make_events([{"event_id": str(i), "at": i * 86_400} for i in range(4)])
+    before = spark.conf.get(name)
+    for asked, used in (("64MB", 256 * 2**20 * 64 // (8 * len(rows.columns))), ("64k", 65_536), ("1m", 2**20)):
+        spark.conf.set(name, asked)
+        try:
+            with tables.bounded_sort(rows):
+                assert spark.conf.get(name) == f"{used}b"
+            with tables.bounded_sort(rows.select("event_id")):
+                assert spark.conf.get(name) == f"{tables._bytes(asked)}b"
+            assert spark.conf.get(name) == asked
+        finally:
+            spark.conf.set(name, before)
+    monkeypatch.setattr(tables, "SORT_BYTES", 20_000)
+    load_events(spark, rows.unionByName(rows), zones.events, "a")
+    assert spark.table(zones.events).count() == 8 and spark.conf.get(name) == before
