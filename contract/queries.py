@@ -40,6 +40,7 @@ from contract.adapter import OPTIONS, as_events, events, read_table
 
 MERGE_KEY = ["event_id", "collector_tstamp", "event_name"]
 DAY, NAME = date(2024, 1, 15), "view"
+STREAMED_ROWS = 500_000
 BATCHES = [["view"], ["click", "error"], ["purchase", "signup"]]
 
 
@@ -139,11 +140,18 @@ def refresh_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("domain_sessionid", "first_day", "last_day", "last_batch")
 
 
+def write_stream(rows: DataFrame, files: str) -> int:
+    """Three files by event name, of which two are a micro-batch; each as several where rows are many. Returns how many."""
+    pieces = rows.count() // STREAMED_ROWS + 1
+    piece = [F.pmod(F.xxhash64("event_id"), F.lit(pieces))] if pieces > 1 else []
+    rows.repartition(3 * pieces, "event_name", *piece).write.parquet(files)
+    return pieces
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, zones = new_path(spark), new_zones(spark)
-    rows = events(spark, sf_dir)
-    rows.repartition(3, "event_name").write.parquet(files)
-    start_refresh(stream_files(spark, files, files_per_batch=2), zones, new_path(spark), OPTIONS).awaitTermination()
+    pieces = write_stream(events(spark, sf_dir), files)
+    start_refresh(stream_files(spark, files, files_per_batch=2 * pieces), zones, new_path(spark), OPTIONS).awaitTermination()
     return spark.table(zones.sessions)
 
 
