@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.storage import saved
+from clickloom.llm.storage import discard, saved
 
 
 def _to_lowest(pairs: DataFrame, node: str, other: str) -> DataFrame:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates the two star operations: every node first hands its larger
     neighbours to its smallest one, then all its neighbours that are not
-    larger, until nothing changes. Each round is saved. Loops and repeated edges
+    larger, until nothing changes. Each round is saved, and the one before deleted. Loops and repeated edges
     are allowed; no edges give no rows.
     """
     edges = saved(
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
             small.select("u", F.col("low").alias("v"))
         )
-        edges = saved(small.where("u <> v").distinct())
+        last, edges = edges, saved(small.where("u <> v").distinct())
+        discard(last)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
             break

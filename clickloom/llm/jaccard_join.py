@@ -12,9 +12,12 @@ ones; every step replicates what the triangle inequality leaves open.
    which x is replicated. ``k`` grows with |x|, so a document that shares fewer
    cells than its smallest possible partner asks for is out, whatever a few
    common passages put beside it.
-2. Within a cell, 64 large pivots that divide all shingles between them give
+2. Within a cell, large pivots that divide all shingles between them give
    each document a vector of overlaps. The triangle inequality of the symmetric
    difference bounds the distance from below by the L1 distance of the vectors.
+   Vectors of unrelated sets of ``n`` shingles are about ``1.1 sqrt(n * pivots)``
+   apart, linked ones at most ``0.22 n`` (at 80 %), so there are 64 pivots at least and
+   more for long documents; else these would all fall into one region.
    Pairs beyond the bound are dropped; what is left joins documents into
    regions that no link leaves. Only spanning trees are sent on.
 3. A region of more than ``leaf_documents`` is split by documents as pivots: each
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm.components import connected_components
-from clickloom.llm.storage import bound_batches, saved
+from clickloom.llm.storage import bound_batches, discard, saved
 from clickloom.llm.text import NO_SPACE, mix, shingle_sets, words_of
 
 CLASSES = 64
@@ -58,7 +61,9 @@ class JoinOptions:
     ``shared_part``: one cell in so many shingles has to be shared, besides one. All
     change the work, never the result. ``pivots``: documents that split a region of
     more than ``leaf_documents``. ``region_shingles`` bounds what a task holds: a region
-    that pivots do not make smaller is joined in blocks of half as many.
+    that pivots do not make smaller is joined in blocks of half as many, of which each
+    meets ``block_round`` others at a time. ``filter_words``: 64-bit words of the filter that
+    finds texts of regions, at most.
     """
 
     shingle: int = 5
@@ -69,11 +74,17 @@ class JoinOptions:
     region_shingles: int = 1_000_000
     leaf_documents: int = 8
     pivots: int = 8
+    block_round: int = 8
+    filter_words: int = 1 << 20
 
     def cells(self, n: int) -> int:
         """The window: as many first pivots as a set of ``n`` shingles is replicated to."""
         return min(n, n - -(-self.percent * n // 100) + 1 + n // self.shared_part)
 
+    def first_cells(self, n: Column) -> Column:
+        """As many first pivots of a set of ``n`` shingles have one of any linked set among its own first ones."""
+        return n - F.ceil(n * self.percent / 100) + 1
+
     def least_shared(self, n: Column) -> Column:
         """Cells that a set of ``n`` shingles shares at least with a linked one of any size."""
         return 1 + F.floor(F.ceil(n * self.percent / 100) / self.shared_part)
@@ -97,12 +108,15 @@ def jaccard_components(docs: DataFrame, options: JoinOptions = JoinOptions(), id
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     common = _common_shingles(texts, options)
-    profiles = saved(_profiles(texts, options, common))
-    linkable = profiles.where("n_shingles > 0 and id is not null")
+    whole = saved(_profiles(texts, options, common))
+    linkable = whole.where("n_shingles > 0 and id is not null")
     sets = saved(linkable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first(F.struct("n_shingles", "overlaps", "cells")).alias("p")).select("rep", "p.*"))
+    profiles = saved(whole.select("id", "n_shingles", "d1", "d2"))
+    discard(whole)
     regions = saved(_regions(sets, options))
+    discard(sets)
     links = _join_regions(texts, regions, options)
-    found = connected_components(links.unionByName(_copies(linkable)))
+    found = connected_components(links.unionByName(_copies(profiles.where("n_shingles > 0 and id is not null"))))
     return profiles.join(found, profiles.id == found.node, "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
@@ -134,7 +148,9 @@ def _common_shingles(texts: DataFrame, options: JoinOptions) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([EMPTY, *cells]).view(np.int64))], ["cell"])
 
     counted = texts.select("text").mapInArrow(first, "cell long").groupBy("cell").count().where(F.col("count") > options.common)
-    found = counted.orderBy(F.desc("count"), "cell").limit(options.common_limit).select("cell").toArrow()
+    most = saved(counted.orderBy(F.desc("count"), "cell").limit(options.common_limit).select("cell"))
+    found = most.toArrow()
+    discard(most)
     return np.sort(found["cell"].to_numpy().view(np.uint64))
 
 
@@ -149,7 +165,8 @@ def _profiles(texts: DataFrame, options: JoinOptions, common: np.ndarray) -> Dat
                 for found in shingle_sets(words, options.shingle):
                     sizes.append(len(found))
                     digests.append((mix(found ^ np.uint64(0x5BD1E995)).sum(), mix(found + np.uint64(0x27D4EB2F)).sum()))
-                    counts = np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                    classes = _classes(len(found))
+                    counts = np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
                     overlaps.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                     cells.append(_first_in_order(found, options.cells(len(found)), moved).view(np.int64))
                 digest = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
@@ -169,6 +186,12 @@ def _profiles(texts: DataFrame, options: JoinOptions, common: np.ndarray) -> Dat
     return texts.mapInArrow(profile, PROFILE)
 
 
+def _classes(n: int) -> int:
+    """Pivots of a set's vector: a power of two, an eighth of its shingles up to 256, then a sixteenth."""
+    power = lambda x: 1 << max(0, x - 1).bit_length()
+    return max(CLASSES, min(4 * CLASSES, power(-(-n // 8))), power(-(-n // 16)))
+
+
 def _first_in_order(found: np.ndarray, count: int, moved: np.ndarray) -> np.ndarray:
     if not len(moved) or not len(found):
         return found[:count]
@@ -182,19 +205,24 @@ def _first_in_order(found: np.ndarray, count: int, moved: np.ndarray) -> np.ndar
 
 def _regions(sets: DataFrame, options: JoinOptions) -> DataFrame:
     """(rep, n_shingles, region) of the sets that may have a linked partner."""
-    cells = sets.select("rep", F.explode("cells").alias("cell"))
+    cells = sets.select("rep", "n_shingles", F.posexplode("cells").alias("at", "cell"))
+    cells = cells.select("rep", "cell", (F.col("at") < options.first_cells(F.col("n_shingles"))).alias("early"))
     shared = cells.withColumn("docs", F.count("*").over(Window.partitionBy("cell"))).where("docs > 1")
-    counted = shared.select("cell", "rep", F.count("*").over(Window.partitionBy("rep")).alias("cells"))
-    members = counted.join(sets.select("rep", "n_shingles", "overlaps"), "rep").where(F.col("cells") >= options.least_shared(F.col("n_shingles")))
+    counted = shared.select("cell", "rep", "early", F.count("*").over(Window.partitionBy("rep")).alias("cells")).where("early")
+    enough = F.col("cells") >= options.least_shared(F.col("n_shingles"))
+    near = saved(counted.join(sets.select("rep", "n_shingles"), "rep").where(enough).select("cell", "rep"))
+    members = near.join(sets.select("rep", "n_shingles", "overlaps"), "rep")
     dealt = members.repartition("cell").sortWithinPartitions("cell", "n_shingles", "rep")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, rep, n, vectors in _runs(batches):
-            a, b = _candidate_forest(cell, n, vectors, options)
+        for cell, rep, n, overlaps in _runs(batches):
+            a, b = _candidate_forest(cell, n, _Vectors(overlaps), options)
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
-    edges = dealt.select("cell", "rep", "n_shingles", "overlaps").mapInArrow(connect, "a long, b long").distinct()
+    edges = saved(dealt.select("cell", "rep", "n_shingles", "overlaps").mapInArrow(connect, "a long, b long").distinct())
+    discard(near)
     found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("region"))
+    discard(edges)
     return found.join(sets.select("rep", "n_shingles"), "rep")
 
 
@@ -205,7 +233,7 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         if not batch.num_rows:
             continue
         rows = [batch.column(i).to_numpy() for i in range(3)]
-        rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CLASSES))
+        rows.append(np.array(batch.column(3).to_pylist(), object))
         if kept is not None:
             rows = [np.concatenate(x) for x in zip(kept, rows)]
         cut = np.searchsorted(rows[0], rows[0][-1])
@@ -216,7 +244,41 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         yield kept
 
 
-def _candidate_forest(cell: np.ndarray, n: np.ndarray, vectors: np.ndarray, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
+class _Vectors:
+    """Overlap vectors of rows, by level: a vector of 256 classes folds into ones of 128 and 64.
+
+    Counts end at 255, also those that are folded; that only lowers the bound.
+    """
+
+    def __init__(self, overlaps: np.ndarray):
+        self.widths = np.array([len(x) for x in overlaps], np.int64)
+        self.levels = {}
+        width, rows = int(self.widths.max(initial=CLASSES)), np.zeros(0, np.int64)
+        folded = np.zeros((0, width), np.uint8)
+        while width >= CLASSES:
+            own = np.flatnonzero(self.widths == width)
+            matrix = np.concatenate((folded, np.frombuffer(b"".join(overlaps[own]), np.uint8).reshape(-1, width)))
+            rows = np.concatenate((rows, own))
+            at = np.full(len(overlaps), -1)
+            at[rows] = np.arange(len(rows))
+            self.levels[width] = at, matrix
+            width //= 2
+            folded = np.minimum(matrix[:, :width].astype(np.uint16) + matrix[:, width:], 255).astype(np.uint8)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """L1 distances of rows a and b, at the finer level that both have."""
+        level, found = np.minimum(self.widths[a], self.widths[b]), np.zeros(len(a), np.int64)
+        for width in np.unique(level).tolist():
+            at, matrix = self.levels[width]
+            pairs = np.flatnonzero(level == width)
+            for first in range(0, len(pairs), max(1, (1 << 21) // width)):
+                part = pairs[first : first + max(1, (1 << 21) // width)]
+                x, y = matrix[at[a[part]]].astype(np.int16), matrix[at[b[part]]].astype(np.int16)
+                found[part] = np.abs(x - y).sum(axis=1)
+        return found
+
+
+def _candidate_forest(cell: np.ndarray, n: np.ndarray, vectors: _Vectors, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all rows of a cell which the pivots' bounds leave open."""
     starts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
     sizes = np.diff(starts)
@@ -225,7 +287,7 @@ def _candidate_forest(cell: np.ndarray, n: np.ndarray, vectors: np.ndarray, opti
     left, right = [], []
     for step in range(1, int(sizes[sizes <= 32].max(initial=1))):
         i = np.flatnonzero((cell[:-step] == cell[step:]) & small[step:])
-        i = i[_may_link(n[i], n[i + step], vectors[i], vectors[i + step], options)]
+        i = i[_may_link(i, i + step, n, vectors, options)]
         left.append(i)
         right.append(i + step)
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
@@ -235,20 +297,23 @@ def _candidate_forest(cell: np.ndarray, n: np.ndarray, vectors: np.ndarray, opti
         np.minimum.at(label, b, low)
         label = label[label]
     for start, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
-        label[start : start + size] = start + _spread(n[start : start + size], vectors[start : start + size], options)
+        label[start : start + size] = start + _spread(start, n, vectors, size, options)
     joined = np.flatnonzero(label != np.arange(len(cell)))
     return joined, label[joined]
 
 
-def _may_link(n, m, x, y, options: JoinOptions):
-    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1)
-    return (apart <= options.near(n, m)) & (100 * np.minimum(n, m) >= options.percent * np.maximum(n, m))
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, vectors: _Vectors, options: JoinOptions) -> np.ndarray:
+    may = 100 * np.minimum(n[a], n[b]) >= options.percent * np.maximum(n[a], n[b])
+    a, b = a[may], b[may]
+    may[may] = vectors.apart(a, b) <= options.near(n[a], n[b])
+    return may
 
 
-def _spread(n: np.ndarray, vectors: np.ndarray, options: JoinOptions) -> np.ndarray:
-    """Labels within one cell, sorted by size: each row is compared with those not yet reached."""
-    label = np.full(len(n), -1)
-    rest = np.arange(len(n))
+def _spread(start: int, sizes: np.ndarray, vectors: _Vectors, count: int, options: JoinOptions) -> np.ndarray:
+    """Labels within the cell from row ``start`` on, sorted by size: each row is compared with those not yet reached."""
+    n = sizes[start : start + count]
+    label = np.full(count, -1)
+    rest = np.arange(count)
     while len(rest):
         root, rest, reached = rest[0], rest[1:], [rest[0]]
         label[root] = root
@@ -256,7 +321,7 @@ def _spread(n: np.ndarray, vectors: np.ndarray, options: JoinOptions) -> np.ndar
             x = reached.pop()
             low, high = np.searchsorted(n[rest], [-(-options.percent * n[x] // 100), 100 * n[x] // options.percent + 1])
             window = rest[low:high]
-            new = window[_may_link(n[x], n[window], vectors[x][None], vectors[window], options)] if len(window) else window
+            new = window[_may_link(np.full(len(window), start + x), start + window, sizes, vectors, options)]
             label[new] = root
             reached.extend(new.tolist())
             rest = rest[label[rest] < 0]
@@ -268,15 +333,42 @@ def _spread(n: np.ndarray, vectors: np.ndarray, options: JoinOptions) -> np.ndar
 
 def _join_regions(texts: DataFrame, regions: DataFrame, options: JoinOptions) -> DataFrame:
     """Links (a, b) that connect all documents linked within regions."""
-    chosen = texts.join(regions, texts.id == regions.rep).select("region", "rep", "text", F.xxhash64("text").alias("copy"))
-    chosen = chosen.dropDuplicates(["region", "rep", "copy"]).drop("copy")
+    own = _may_be_among(texts, "id", regions.select("rep"), options)
+    chosen = own.join(regions, own.id == regions.rep).select("region", "rep", "text", F.xxhash64("text").alias("copy"))
+    chosen = saved(chosen.dropDuplicates(["region", "rep", "copy"]).drop("copy"))
     large = saved(regions.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("weight")).where(_is_large(options)))
     links = []
     if large.take(1):
         members = chosen.join(large, "region", "left_semi").mapInArrow(_encoder(options), "region long, rep long, shingles binary")
-        chosen = chosen.join(large, "region", "left_anti").select("region", "rep", "text")
         links = _split_regions(saved(members), options)
-    return saved(reduce(DataFrame.unionByName, [_join_leaves(chosen, options), *links]))
+    links.append(saved(_join_leaves(chosen.join(large, "region", "left_anti").select("region", "rep", "text"), options)))
+    discard(chosen)
+    return reduce(DataFrame.unionByName, links)
+
+
+def _may_be_among(rows: DataFrame, column: str, ids: DataFrame, options: JoinOptions) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in the only column of ``ids``.
+
+    Rows are wide and few are asked for, so they are tested where they are read and
+    not shuffled first. A filter of two bits an id, 16 times as many in all up to
+    ``filter_words``, lets all of ``ids`` through and some others, which a join drops.
+    """
+    spark, count = rows.sparkSession, ids.count()
+    words = min(options.filter_words, 1 << max(6, (count // 4).bit_length()))
+
+    def places(column: str) -> list[tuple[Column, Column]]:
+        h = F.xxhash64(F.col(column).cast("long"))
+        at = lambda by, most: F.shiftrightunsigned(h, by).bitwiseAND(F.lit(most - 1)).cast("int")
+        return [(at(0, words), at(58, 64)), (at(24, words), at(50, 64))]
+
+    each = F.explode(F.array(*[F.struct(word.alias("word"), bit.alias("bit")) for word, bit in places(ids.columns[0])])).alias("p")
+    bits = saved(ids.select(each).groupBy("p.word").agg(F.expr("bit_or(shiftleft(1L, p.bit))").alias("bits")))
+    found, filter_ = bits.toArrow(), np.zeros(words, np.int64)
+    discard(bits)
+    filter_[found["word"].to_numpy()] = found["bits"].to_numpy()
+    one = spark.createDataFrame(pa.table({"_bits": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(filter_))}))
+    passed = [F.getbit(F.get("_bits", word), bit) == 1 for word, bit in places(column)]
+    return rows.join(F.broadcast(one), passed[0] & passed[1]).select(*rows.columns)
 
 
 def _is_large(options: JoinOptions) -> Column:
@@ -384,28 +476,32 @@ def _split_regions(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
     while True:
         sizes = members.groupBy("region").agg(F.count("*").alias("rows"), _weight().alias("weight"))
         large = saved(sizes.where(_is_large(options)))
-        links.append(_join_leaves(members.join(large, "region", "left_anti"), options))
+        links.append(saved(_join_leaves(members.join(large, "region", "left_anti"), options)))
         if not large.take(1):
+            discard(members)
             return links
         big = members.join(large, "region")
-        found, cells = _voronoi_cells(big, level, options)
-        links.append(found)
-        held = cells.groupBy("parent", "region").agg(_weight().alias("w")).groupBy("parent")
+        found, cells, measured = _voronoi_cells(big, level, options)
+        links.append(saved(found))
+        held = cells.groupBy("parent", "region").agg(F.sum("size").alias("w")).groupBy("parent")
         held = held.agg(F.sum("w").alias("sum"), F.sum(F.col("w") * F.col("w")).alias("squares"))
         helps = (F.col("squares") <= F.col("weight") * F.col("weight") / 2) & (F.col("sum") <= 1.5 * F.col("weight"))
         judged = saved(large.join(held, large.region == held.parent, "left").select(large.region, F.coalesce(helps, F.lit(True)).alias("helps")))
         if judged.where("not helps").take(1):
-            links.append(_join_blocks(big.join(judged.where("not helps"), "region", "left_semi").select("region", "rep", "shingles"), options))
+            links.extend(_join_blocks(big.join(judged.where("not helps"), "region", "left_semi").select("region", "rep", "shingles", "weight"), options))
         split = judged.where("helps").select(F.col("region").alias("parent"))
         # a document may be a pivot of two regions: their cells become one
-        next_ = cells.join(split, "parent", "left_semi").withColumn("copy", F.xxhash64("shingles"))
-        members, level = saved(next_.dropDuplicates(["region", "rep", "copy"]).select("region", "rep", "shingles")), level + 1
+        next_ = cells.join(split, "parent", "left_semi").dropDuplicates(["region", "rep", "copy"])
+        next_ = saved(next_.join(measured.selectExpr(*_KEY, "shingles"), ["parent", "rep", "copy"]).select("region", "rep", "shingles"))
+        discard(members, measured)
+        members, level = next_, level + 1
 
 
-def _voronoi_cells(big: DataFrame, level: int, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
-    """Links of documents with pivots, and the cells (parent, region, rep, shingles) of the regions.
+def _voronoi_cells(big: DataFrame, level: int, options: JoinOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of documents with pivots, the cells (parent, region, rep, copy, size) of the regions, and the saved sets.
 
     Every pair linked within a region is in one of its cells, or both are linked with a pivot.
+    Cells have no shingles, of which there would be one copy for each pivot.
     """
     eps = 1 - options.percent / 100
     order = F.xxhash64("rep", F.lit(level))
@@ -421,14 +517,18 @@ def _voronoi_cells(big: DataFrame, level: int, options: JoinOptions) -> tuple[Da
         )
     )
     near, x = F.array_min("distances").alias("near"), F.explode(F.arrays_zip("pivots", "distances")).alias("x")
-    each = measured.select(F.col("region").alias("parent"), "rep", "shingles", near, x)
-    each = each.select("parent", "rep", "shingles", "near", F.col("x.pivots").alias("region"), F.col("x.distances").alias("apart"))
+    each = measured.selectExpr("*", *_KEY).select("parent", "rep", "copy", (F.octet_length("shingles") / 8).alias("size"), near, x)
+    each = each.select("*", F.col("x.pivots").alias("region"), F.col("x.distances").alias("apart"))
     links = each.where((F.col("apart") <= eps + 1e-9) & (F.col("rep") != F.col("region")))
     dealt = each.where(F.col("apart") <= F.col("near") + 2 * eps + 1e-9)
     linked = F.col("apart") <= eps - 1e-9
     outside = dealt.where(~linked).groupBy("parent", "region").agg(F.min("apart").alias("outside"))
     kept = dealt.join(outside, ["parent", "region"]).where(~linked | (F.col("apart") >= F.col("outside") - eps - 1e-9))
-    return links.select(F.col("rep").alias("a"), F.col("region").alias("b")), kept.select("parent", "region", "rep", "shingles")
+    return links.select(F.col("rep").alias("a"), F.col("region").alias("b")), kept.select("parent", "region", "rep", "copy", "size"), measured
+
+
+#: A row of a region that has been split.
+_KEY = "region as parent", "rep", "xxhash64(shingles) as copy"
 
 
 def _weight() -> Column:
@@ -455,15 +555,23 @@ def _distances(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
-def _join_blocks(members: DataFrame, options: JoinOptions) -> DataFrame:
-    """Large regions in pairs of blocks of half of ``region_shingles``."""
-    sized = members.join(members.groupBy("region").agg(_weight().alias("weight")), "region")
+def _join_blocks(members: DataFrame, options: JoinOptions) -> list[DataFrame]:
+    """Large regions in pairs of blocks of half of ``region_shingles``.
+
+    Every block meets all the others, so the pairs hold a region as many times as it
+    has blocks. They are made some at a time: blocks i and j meet at step i + j.
+    """
     blocks = F.ceil(2 * F.col("weight") / options.region_shingles).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sized.select("region", "rep", "shingles", "block", "blocks", other.alias("other"))
-    low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
-    return _join_leaves(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)
+    sized = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    most, links = sized.agg(F.max("blocks")).first()[0], []
+    for first in range(0, most, options.block_round):
+        last = F.least(F.lit(first + options.block_round), "blocks") - 1
+        step = F.explode(F.sequence(F.lit(first), last)).alias("step")
+        pairs = sized.where(F.col("blocks") > first).select("region", "rep", "shingles", "block", "blocks", step)
+        other = F.pmod(F.col("step") - F.col("block"), "blocks")
+        low, high = F.least("block", other).cast("long"), F.greatest("block", other).cast("long")
+        links.append(saved(_join_leaves(pairs.select(F.xxhash64("region", low, high).alias("region"), "rep", "shingles"), options)))
+    return links
 
 
 def keep_representatives(docs: DataFrame, options: JoinOptions = JoinOptions(), id_column: str = "doc_id") -> DataFrame:
@@ -473,6 +581,6 @@ def keep_representatives(docs: DataFrame, options: JoinOptions = JoinOptions(),
     null id all stay, also those of equal text.
     """
     classes = jaccard_components(docs, options, id_column)
-    dropped = classes.where(F.col("component_id") != F.col(id_column)).select(id_column).distinct()
+    dropped = saved(classes.where(F.col("component_id") != F.col(id_column)).select(id_column).distinct())
     copy = F.struct(F.xxhash64(F.col("text").cast("string")), F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
     return docs.join(dropped, id_column, "left_anti").withColumn("_copy", copy).dropDuplicates([id_column, "_copy"]).select(*docs.columns)

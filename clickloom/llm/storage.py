@@ -10,15 +10,36 @@ from pyspark.sql import functions as F
 from clickloom.session import shared_dir
 
 
+#: Whether Spark deletes the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
-    Cuts the lineage: what a lost executor costs is reading a file again.
+    Cuts the lineage: what a lost executor costs is reading a file again. The
+    shuffle files of the query go with its end; else they would stay until the
+    driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._saved_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables as ``saved`` returned them, which nothing may read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._saved_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BATCH_BYTES = 4 << 20

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,6 +94,76 @@ def test_regions_are_split_level_by_level(make_docs, monkeypatch, options):
     assert len({c for _, _, c in got}) > 1 and max(levels) >= (1 if options.percent == 90 else 0)  # at 80 windows are wide: blocks follow
 
 
+def test_long_unrelated_documents_are_in_no_region(make_docs, monkeypatch):
+    rng = random.Random(3)
+    passages = [sentence(rng, 800, 10**6) for _ in range(31)]
+    rows = [(i, f"{passages[i]} {sentence(rng, 1400, 10**6)} {passages[i + 1]}") for i in range(30)]  # each shares with the next
+    rows.append((100, rows[0][1] + " more"))
+    found, join = [], jaccard_join._join_regions
+    monkeypatch.setattr(jaccard_join, "_join_regions", lambda texts, regions, o: found.extend(regions.collect()) or join(texts, regions, o))
+    got = {tuple(r) for r in jaccard_components(make_docs(rows)).collect()}
+    assert got == all_pairs(rows, JoinOptions())
+    assert {(r["rep"], r["region"]) for r in found} == {(0, 0), (100, 0)}
+
+
+def test_vectors_of_unlike_widths_bound_the_distance():
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(2**40, n, replace=False).astype(np.uint64) for n in (300, 500, 520, 1000, 1100, 5000)]
+    sets += [np.concatenate((x[: len(x) * 9 // 10], rng.choice(2**40, len(x) // 5, replace=False).astype(np.uint64))) for x in sets]
+    widths = [jaccard_join._classes(len(x)) for x in sets]
+    rows = [np.minimum(np.bincount((x & np.uint64(w - 1)).astype(np.int64), minlength=w), 255).astype(np.uint8).tobytes() for x, w in zip(sets, widths)]
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = jaccard_join._Vectors(np.array(rows, object)).apart(a, b)
+    assert len(set(widths)) > 3
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(apart, a, b))
+
+
+@pytest.mark.parametrize("round_", [1, 3])
+def test_blocks_meet_some_at_a_time(make_docs, monkeypatch, round_):
+    rng = random.Random(4)
+    words, rows, at = [f"w{i}" for i in range(2000)], [], 0
+    for number in range(120):  # a band, which pivots do not divide at 80 %
+        rows.append((number, " ".join(words[at : at + 100])))
+        at += 30 if number == 70 else rng.choice([1, 2, 3])
+    options = JoinOptions(region_shingles=4000, block_round=round_)
+    made, leaves = [], jaccard_join._join_leaves
+    monkeypatch.setattr(jaccard_join, "_join_leaves", lambda members, o: made.append(members.count()) or leaves(members, o))
+    got = {tuple(r) for r in jaccard_components(make_docs(rows), options).collect()}
+    assert got == all_pairs(rows, options)
+    assert max(made) <= round_ * len(rows) < sum(made)
+
+
+def test_large_intermediate_results_go(spark, make_docs, monkeypatch):
+    tables, save = [], jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df: tables.append(save(df)) or tables[-1])
+    rows = near_copies(7, groups=4, copies=30)
+    found = jaccard_components(make_docs(rows), JoinOptions(leaf_documents=2, region_shingles=100))
+    assert {tuple(r) for r in found.collect()} == all_pairs(rows, JoinOptions())
+    wide = [t for t in tables if {"cells", "cell", "text", "shingles"} & set(t.columns)]
+    assert len(wide) > 4 and not any(Path(t._saved_path.removeprefix("file:")).exists() for t in wide)
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before = files()
+    assert jaccard_join.saved(spark.range(1000).selectExpr("id % 7 as k").distinct()).count() == 7
+    for _ in range(50):  # they are deleted in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1  # that of count()
+
+
+def test_filter_lets_all_asked_for_through(spark):
+    rows = spark.range(20_000).selectExpr("if(id = 0, null, id) as id", "'x' as text")
+    ids = spark.range(0, 20_000, 40).where("id > 0").selectExpr("id as rep")
+    for options in (JoinOptions(), JoinOptions(filter_words=4)):  # one too small for so many ids
+        got = [r["id"] for r in jaccard_join._may_be_among(rows, "id", ids, options).collect()]
+        assert len(got) == len(set(got)) and set(range(40, 20_000, 40)) <= set(got)
+        assert options.filter_words == 4 or len(got) < 2000
+
+
 def test_dense_class_costs_no_pairs():
     base = np.arange(200, dtype=np.uint64)
     sets = [np.sort(np.append(base, np.uint64(1000 + i))) for i in range(500)] + [np.array([5], np.uint64)]
