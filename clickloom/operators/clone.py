@@ -62,7 +62,7 @@ class CloneSchedule:
         return self.template_span + self.gap if self.window is None else self.window
 
     def start(self, index: Column) -> Column:
-        return add_micros(ntz(self.template_min), index * F.lit(self.spacing // MICROSECOND))
+        return add_micros(ntz(self.template_min), index.cast("bigint") * F.lit(self.spacing // MICROSECOND))
 
     def shift(self, moment: Column, index: Column) -> Column:
         """``moment`` moved into batch ``index``; the order of events is kept."""

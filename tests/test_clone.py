@@ -92,6 +92,12 @@ def test_compressed_times_keep_their_order_and_equal_plain_arithmetic(spark, off
     assert all(got[a] <= got[b] for a, b in zip(order, order[1:]))
 
 
+def test_a_spacing_under_an_int_does_not_overflow(spark):
+    schedule = clone.CloneSchedule(3, START, START + timedelta(microseconds=10), fixed_spacing=timedelta(microseconds=2**30))
+    moved = spark.range(1).select(schedule.start(F.lit(2))).first()[0]
+    assert moved == START + timedelta(microseconds=2**31)
+
+
 def test_batches_and_manifest_on_storage_drive_an_incremental_run(spark, zones, make_events, tmp_path):
     rows = template(make_events)
     schedule = clone.CloneSchedule.for_template(rows, 3)
