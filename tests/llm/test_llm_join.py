@@ -147,12 +147,12 @@ def test_saved_leaves_no_shuffle_files(spark):
     folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
     files = lambda: {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
     before = files()
-    assert jaccard_join.saved(spark.range(1000).selectExpr("id % 7 as k").distinct()).count() == 7
+    jaccard_join.saved(spark.range(1000).selectExpr("id % 7 as k").distinct())
     for _ in range(50):  # they are deleted in the background
         if not (left := files() - before):
             break
         time.sleep(0.1)
-    assert len(left) <= 1  # that of count()
+    assert not left
 
 
 def test_filter_lets_all_asked_for_through(spark):
